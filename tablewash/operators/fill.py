@@ -6,25 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewash.operators.table import RID
+from tablewash.operators.table import RID, col
 
-# Rows of a bucket, then buckets of a group, and so on. Row ids are unique,
-# so a bucket never holds more rows than this whatever the data looks like.
-_ROWS = 65536
-_FANS = (4096, 4096)
-
-
-def _down(c: Column, size: int) -> Column:
-    return F.floor(c / F.lit(size)).cast("bigint")
+# Bits of the row id that a bucket spans, then of the bucket number that a
+# group spans, and so on. Row ids are unique, so no bucket holds more than
+# 65,536 rows whatever the data looks like.
+_ROW_BITS = 16
+_FAN_BITS = (12, 12)
 
 
 def _from_before(lasts: DataFrame, fans: tuple[int, ...]) -> DataFrame:
     """``(b, carried)`` from ``(b, last)``: the last value of an earlier b."""
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     if not fans:
-        # What is left is one row per ROWS * FANS... row ids.
+        # What is left is one row per 2**40 row ids.
         return lasts.select("b", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    grouped = lasts.withColumn("g", _down(F.col("b"), fans[0]))
+    grouped = lasts.withColumn("g", F.shiftright("b", fans[0]))
     inside = F.last("last", ignorenulls=True).over(
         Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -44,12 +41,12 @@ def with_value_above(df: DataFrame, value: Column, name: str) -> DataFrame:
     One shuffle of the rows by bucket; the join with the carried values uses
     the same partitioning.
     """
-    bucketed = df.select("*", value.alias("_v"), _down(F.col(RID), _ROWS).alias("_b"))
+    bucketed = df.select("*", value.alias("_v"), F.shiftright(RID, _ROW_BITS).alias("_b"))
     seen = F.when(F.col("_v").isNotNull(), F.col(RID))
     lasts = bucketed.groupBy(F.col("_b").alias("b")).agg(F.max_by("_v", seen).alias("last"))
-    carried = _from_before(lasts, _FANS).withColumnRenamed("b", "_b").withColumnRenamed("carried", "_c")
+    carried = _from_before(lasts, _FAN_BITS).withColumnRenamed("b", "_b").withColumnRenamed("carried", "_c")
     above = F.last("_v", ignorenulls=True).over(
         Window.partitionBy("_b").orderBy(RID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = bucketed.withColumn("_a", above).join(carried, "_b", "left")
-    return filled.select(*df.columns, F.coalesce("_a", "_c").alias(name))
+    return filled.select(*[col(c) for c in df.columns], F.coalesce("_a", "_c").alias(name))
