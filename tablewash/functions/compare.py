@@ -72,7 +72,8 @@ def _equal(text: Column, number: Column, value: Any) -> Column:
     wanted = literal_text(value)
     wanted_number = coerce_number(wanted)
     same_text = text.isNull() | (text == "") if value in (None, "") else text == wanted
-    return F.when(wanted_number.isNotNull() & number.isNotNull(), number == wanted_number).otherwise(same_text)
+    # Null unless both are numbers, and then the text decides.
+    return F.coalesce(number == wanted_number, same_text)
 
 
 def _is_in(text: Column, number: Column, values: Any) -> Column:
@@ -92,17 +93,15 @@ def _ordered(c, data_type, text: Column, number: Column, operator: str, value: A
     compare = _ORDERINGS[operator]
     wanted = literal_text(value)
     wanted_number = coerce_number(wanted)
-    if not isinstance(data_type, T.StringType) and isinstance(value, (int, float)) and not isinstance(value, bool):
-        if isinstance(data_type, T.NumericType):
-            # A number cell against a number: nothing to coerce. The bare
-            # comparison reaches the scan; the other one rejects a NaN.
-            plain = compare(c.cast("double") if isinstance(data_type, T.FloatType) else c, F.lit(value))
-            return plain & number.isNotNull()
-    wanted_date, date = coerce_date(wanted), coerce_date(text)
-    verdict = (
-        F.when(wanted_number.isNotNull() & number.isNotNull(), compare(number, wanted_number))
-        .when(wanted_date.isNotNull() & date.isNotNull(), compare(date, wanted_date))
-        .otherwise(compare(text, wanted))
+    if isinstance(data_type, T.NumericType) and isinstance(value, (int, float)) and not isinstance(value, bool):
+        # A number cell against a number: nothing to coerce. The bare
+        # comparison reaches the scan; the other one rejects a NaN.
+        return compare(c, F.lit(value)) & number.isNotNull()
+    # Each comparison is null unless both sides can be read that way.
+    verdict = F.coalesce(
+        compare(number, wanted_number),
+        compare(coerce_date(text), coerce_date(wanted)),
+        compare(text, wanted),
     )
     return ~is_blank(text) & verdict
 

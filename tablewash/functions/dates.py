@@ -18,7 +18,7 @@ SHAPES = (SHAPE_ISO, SHAPE_SLASH, SHAPE_TEXT)
 
 _START = rf"^(\d{{1,4}}[-/.]|\d{{1,2}}[{WS}]|[A-Za-z]{{3,9}}[{WS}])"
 # A year but 0000, months 1 to 12, days 1 to 31 in any month.
-_CALENDAR = r"(?<=^-)(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"
+_CALENDAR = r"(?<=^ [xcz]-)(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"
 _ABOVE_12 = r"0?(?:1[3-9]|[2-9]\d)|[1-9]\d\d"
 
 
@@ -26,7 +26,7 @@ def _layouts(day_first: bool) -> list[tuple[str, str]]:
     """Pattern and the ``year rule - year - month - day`` layout it stands for.
 
     The year rule is ``x`` (as written), ``c`` (two digits pivot at 70) or
-    ``z`` (two digits are 20xx); the last four patterns settle it.
+    ``z`` (two digits are 20xx); the patterns after the layouts settle it.
     """
     first_is_day = " c-$3-$2-$1"
     first_is_month = " c-$3-$1-$2"
@@ -52,30 +52,31 @@ def _layouts(day_first: bool) -> list[tuple[str, str]]:
     ]
 
 
+# Month and day without needless zeros, then with two digits.
+_TWO_DIGITS = (
+    (r"^( [xcz]-\d{4})-0*(\d{1,2})-0*(\d{1,2})\z", "$1-0$2-0$3"),
+    (r"-0?(\d\d)(?=-|\z)", "-$1"),
+)
+
+
 def coerce_date(c: Column, day_first: bool = False) -> Column:
     """Read a date in any accepted layout as ``yyyy-mm-dd`` text, else null.
 
     Each layout rewrites the cell to one common form that starts with a space.
-    A trimmed cell never does, so the layouts chain without testing each other.
+    A trimmed cell never does, so the layouts chain without testing each
+    other, and no step needs its input twice: the generated code stays small.
     """
     cell = strip(c)
-    laid_out = cell
+    common = cell
     for pattern, layout in _layouts(day_first):
-        laid_out = F.regexp_replace(laid_out, pattern, layout)
-    # Empty, year, month, day once a layout matched; anything else when not.
-    parts = F.split(F.when(cell.rlike(_START), laid_out), "^ [xcz]-|-", 5)
-
-    def two(number: Column) -> Column:
-        return F.lpad(F.least(number, F.lit(99)).cast("string"), 2, "0")
-
-    month_text = F.get(parts, F.lit(2))
-    month = F.coalesce(
-        month_text.try_cast("int"),
-        F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month_text)).cast("int"),
-    )
-    day = F.get(parts, F.lit(3)).try_cast("int")
-    joined = F.concat_ws("-", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), two(month), two(day))
-    return F.regexp_substr(joined, F.lit(_CALENDAR))
+        common = F.regexp_replace(common, pattern, layout)
+    common = F.lower(common)
+    for i, name in enumerate(MONTHS, 1):
+        common = F.replace(common, F.lit(f"-{name}-"), F.lit(f"-{i}-"))
+    for pattern, layout in _TWO_DIGITS:
+        common = F.regexp_replace(common, pattern, layout)
+    found = F.regexp_extract_all(F.when(cell.rlike(_START), common), F.lit(_CALENDAR), F.lit(0))
+    return F.get(found, F.lit(0))
 
 
 def date_shape(c: Column) -> Column:

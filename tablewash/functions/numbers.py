@@ -29,7 +29,7 @@ def coerce_number(c: Column) -> Column:
     marked = F.regexp_replace(cell, r"^\((.*)\)\z", " $1")
     numeral = F.regexp_replace(F.regexp_replace(marked, _NOISE, ""), "^(?: -?|-)", "-")
     percent = cell.rlike(rf"%[{WS}]*\)?\z")
-    size = F.regexp_substr(numeral, F.lit(_NUMERAL)).try_cast("double")
+    size = F.get(F.regexp_extract_all(numeral, F.lit(_NUMERAL), F.lit(0)), F.lit(0)).try_cast("double")
     value = size / F.when(percent, F.lit(100.0)).otherwise(F.lit(1.0)) + F.lit(0.0)
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 

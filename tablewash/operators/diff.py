@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.functions.text import text_of
-from tablewash.operators.table import RID, cell_text, col, column_type, data_columns
+from tablewash.operators.table import RID, cell_text, col, data_columns
 from tablewash.operators.transforms import Step
 
 EXAMPLES = 20
@@ -27,13 +26,16 @@ def _rewritten(step: Step) -> tuple[DataFrame, list[str]]:
 
     Cells compare by their text: 39545 as text and as number are the same.
     """
-    result = step.result
     cells = {**step.cells, **{c: v for c, v in step.adds.items() if c in step.before.columns}}
-    new = [text_of(v, column_type(result, c)).alias(f"_a{i}") for i, (c, v) in enumerate(cells.items())]
-    old = [cell_text(step.before, c).alias(f"_b{i}") for i, c in enumerate(cells)]
     keep = F.lit(True) if step.keep is None else F.coalesce(step.keep, F.lit(False))
     lost = F.lit(False) if step.unparseable is None else step.unparseable
-    return step.frame.select(RID, keep.alias("_kept"), lost.alias("_lost"), *old, *new), list(cells)
+    old = [cell_text(step.before, c).alias(f"_b{i}") for i, c in enumerate(cells)]
+    new = [v.alias(f"_v{i}") for i, v in enumerate(cells.values())]
+    # New cells first, their text next: a text form reads its cell repeatedly.
+    both = step.frame.select(RID, keep.alias("_kept"), lost.alias("_lost"), *old, *new)
+    texts = [cell_text(both, f"_v{i}").alias(f"_a{i}") for i in range(len(cells))]
+    kept = [c for c in both.columns if not c.startswith("_v")]
+    return both.select(*kept, *texts), list(cells)
 
 
 def diff_summary(step: Step) -> DataFrame:

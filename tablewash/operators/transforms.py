@@ -109,29 +109,32 @@ def normalize_case(df: DataFrame, params: dict) -> Step:
     return _step("normalize_case", params, df, f'Change "{column}" to {mode} case', cells=cells)
 
 
-def _retyped(op: str, df: DataFrame, params: dict, parsed: Column, kept_as: Column, summary: str) -> Step:
+def _retyped(op: str, df: DataFrame, params: dict, parsed: Column, kept_as: Callable, summary: str) -> Step:
     """A cell the target type cannot hold becomes null and is counted, or,
     with ``on_unparseable='keep'``, stays as text in a text column."""
     column = params["column"]
     mode = _one_of("on_unparseable", params.get("on_unparseable", "null"), ("null", "keep"))
-    text = cell_text(df, column)
-    lost = ~is_blank(text) & parsed.isNull()
-    new = parsed if mode == "null" else F.coalesce(kept_as, text)
-    return _step(op, params, df, summary, cells={column: new}, unparseable=lost)
+    text, new = cell_text(df, column), F.col("_parsed")
+    # A column of its own, so that its several readers share one parse.
+    frame = df.select("*", parsed.alias("_parsed"))
+    lost = ~is_blank(text) & new.isNull()
+    if mode == "keep":
+        new = F.coalesce(kept_as(new), text)
+    return _step(op, params, df, summary, frame=frame, cells={column: new}, unparseable=lost)
 
 
 def parse_numbers(df: DataFrame, params: dict) -> Step:
     (column,) = _required(params, "column")
     require_columns(df, [column])
     number = cell_number(df, column)
-    return _retyped("parse_numbers", df, params, number, num_text(number), f'Parse "{column}" as numbers')
+    return _retyped("parse_numbers", df, params, number, num_text, f'Parse "{column}" as numbers')
 
 
 def parse_dates(df: DataFrame, params: dict) -> Step:
     (column,) = _required(params, "column")
     require_columns(df, [column])
     iso = coerce_date(cell_text(df, column), bool(params.get("day_first", False)))
-    return _retyped("parse_dates", df, params, iso, iso, f'Parse "{column}" as dates (yyyy-mm-dd)')
+    return _retyped("parse_dates", df, params, iso, lambda x: x, f'Parse "{column}" as dates (yyyy-mm-dd)')
 
 
 def _mode(df: DataFrame, column: str) -> Column:
@@ -146,14 +149,10 @@ def _mode(df: DataFrame, column: str) -> Column:
     return counts.orderBy(F.desc("cnt"), "first_rid").limit(1).select("value").scalar()
 
 
-def median_of(df: DataFrame, column: str) -> DataFrame:
-    numbers = (
-        df.select(F.lit(column).alias("column"), cell_number(df, column).alias("num"))
-        .where("num is not null")
-        .groupBy("column", "num")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    return exact_quantiles(numbers, [0.5]).select("value")
+def median_of(numbers: DataFrame) -> DataFrame:
+    """One row at most, from the numbers of one column."""
+    counts = numbers.where("num is not null").groupBy("num").agg(F.count(F.lit(1)).alias("cnt"))
+    return exact_quantiles(counts.select(F.lit("").alias("column"), "num", "cnt"), [0.5]).select("value")
 
 
 _STRATEGIES = ("constant", "mean", "median", "mode", "forward")
@@ -174,11 +173,9 @@ def fill_missing(df: DataFrame, params: dict) -> Step:
             else:
                 as_is = text
     elif strategy in ("mean", "median"):
-        if strategy == "mean":
-            number = df.agg(exact_mean(cell_number(df, column)).alias("value")).scalar()
-        else:
-            number = median_of(df, column).scalar()
-        fill = number if numeric else num_text(number)
+        numbers = df.select(cell_number(df, column).alias("num"))
+        one = numbers.agg(exact_mean(F.col("num")).alias("value")) if strategy == "mean" else median_of(numbers)
+        fill = one.select("value" if numeric else num_text(F.col("value"))).scalar()
         as_is = col(column).cast("double") if numeric else as_is
     elif strategy == "mode":
         fill, as_is = _mode(df, column), text
@@ -355,7 +352,7 @@ def coerce_type(df: DataFrame, params: dict) -> Step:
         "date": lambda: coerce_date(text).try_cast("date"),
         "boolean": lambda: coerce_boolean(text),
     }[kind]()
-    kept_as = num_text(parsed) if kind == "number" else parsed.cast("string")
+    kept_as = num_text if kind == "number" else lambda x: x.cast("string")
     return _retyped("coerce_type", df, params, parsed, kept_as, f'Coerce "{column}" to {kind}')
 
 

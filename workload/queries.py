@@ -209,7 +209,7 @@ def _page(**arguments) -> Query:
 
 def q_contains(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages", "page_id")
-    return filter_rows(pages, [_is("url", "contains", "WIKI")]).select(F.col(RID).alias("page_id"), "url")
+    return filter_rows(pages, [_is("url", "contains", "BLOG.")]).select(F.col(RID).alias("page_id"), "url")
 
 
 def q_starts_with(spark: SparkSession, folder: str) -> DataFrame:
