@@ -19,15 +19,15 @@ from tablewash.functions.text import is_blank, strip
 from tablewash.operators.table import RID, cell_text, col, column_list, data_columns, require_columns
 
 
-def _settled(grouped: DataFrame, key: str, always: Column) -> DataFrame:
-    """Tie a grouping key to the aggregates by a condition that always holds.
+def _settled(grouped: DataFrame, keys: list[str], always: Column) -> DataFrame:
+    """Tie grouping keys to the aggregates by a condition that always holds.
 
-    Spark would push each reader's filter on the key below the grouping, run
+    Spark would push each reader's filters on the keys below the grouping, run
     the cell functions per row and shuffle once per reader. Tied to the
     aggregates, the filters stay above and all readers reuse one exchange.
     """
-    rest = [F.col(c) for c in grouped.columns if c != key]
-    return grouped.where(always).select(*rest, F.when(always, F.col(key)).alias(key))
+    tied = [F.when(always, F.col(c)).alias(c) if c in keys else F.col(c) for c in grouped.columns]
+    return grouped.where(always).select(*tied)
 
 
 class Frequencies:
@@ -42,14 +42,14 @@ class Frequencies:
         self.kinds = kinds
         require_columns(df, self.columns)
         self.df = df
-        texts = [cell_text(df, c).alias(c) for c in self.columns]
-        cells = df.select(col(RID), *texts).unpivot(
-            col(RID), [col(c) for c in self.columns], "column", "value"
-        )
+        # Not unpivot: its output repeats the attribute of the row id, which
+        # keeps Spark from seeing that copies of this plan are the same.
+        pairs = [x for c in self.columns for x in (F.lit(c), cell_text(df, c))]
+        cells = df.select(RID, F.stack(F.lit(len(self.columns)), *pairs).alias("column", "value"))
         grouped = cells.groupBy("column", "value").agg(
             F.count(F.lit(1)).alias("cnt"), F.min(RID).alias("first_rid")
         )
-        self.vf = _settled(grouped, "value", (F.col("cnt") > 0) & F.col("first_rid").isNotNull())
+        self.vf = _settled(grouped, ["column", "value"], (F.col("cnt") > 0) & F.col("first_rid").isNotNull())
         self._stats: DataFrame | None = None
 
     @property
@@ -167,4 +167,4 @@ class Frequencies:
         """``(column, num, cnt)``: distinct numbers of the number columns."""
         parsed = self.of_type("number").select("column", coerce_number(F.col("value")).alias("num"), "cnt")
         grouped = parsed.groupBy("column", "num").agg(F.sum("cnt").alias("cnt"))
-        return _settled(grouped, "num", F.col("cnt") > 0).where("num is not null")
+        return _settled(grouped, ["column", "num"], F.col("cnt") > 0).where("num is not null")
