@@ -44,22 +44,27 @@ def predicate(c: Column, data_type: T.DataType, operator: str, value: Any = None
     is often a plain comparison that reaches the file scan.
     """
     text, number = text_of(c, data_type), number_of(c, data_type)
+    # A number has no placeholder texts: it is blank when it is missing.
+    numeric = isinstance(data_type, T.NumericType)
+    blank = c.isNull() if numeric else is_blank(text)
     if operator == "is_blank":
-        return is_blank(text)
+        return blank
     if operator == "not_blank":
-        return ~is_blank(text)
+        return ~blank
     if operator == "contains":
         return F.lower(text).contains(F.lower(literal_text(value)))
     if operator == "starts_with":
         return F.lower(text).startswith(F.lower(literal_text(value)))
     if operator == "eq":
-        return _equal(text, number, value)
+        return _equal(c, text, number, numeric, value)
     if operator == "neq":
-        return ~holds(_equal(text, number, value))
+        return ~holds(_equal(c, text, number, numeric, value))
     if operator == "in":
-        return _is_in(text, number, value)
+        if not isinstance(value, (list, tuple, set)):
+            raise ValueError('Operator "in" needs a list of values.')
+        return _is_in(c, text, number, numeric, list(value))
     if operator in _ORDERINGS:
-        return _ordered(c, data_type, text, number, operator, value)
+        return _ordered(c, text, number, numeric, blank, operator, value)
     raise ValueError(f'Unknown operator "{operator}". Use {", ".join(OPERATORS)}.')
 
 
@@ -68,55 +73,63 @@ def holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def _equal(text: Column, number: Column, value: Any) -> Column:
+def _empty(value: Any) -> bool:
+    return value is None or value == ""
+
+
+def _equal(c: Column, text: Column, number: Column, numeric: bool, value: Any) -> Column:
     wanted = literal_text(value)
-    wanted_number = coerce_number(wanted)
-    same_text = text.isNull() | (text == "") if value in (None, "") else text == wanted
+    if _empty(value):
+        return c.isNull() if numeric else text.isNull() | (text == "")
+    if numeric:
+        return number == coerce_number(wanted)
     # Null unless both are numbers, and then the text decides.
-    return F.coalesce(number == wanted_number, same_text)
+    return F.coalesce(number == coerce_number(wanted), text == wanted)
 
 
-def _is_in(text: Column, number: Column, values: Any) -> Column:
-    if not isinstance(values, (list, tuple, set)):
-        raise ValueError('Operator "in" needs a list of values.')
-    if not values:
-        return F.lit(False)
-    texts = [literal_text(v) for v in values]
-    numbers = [coerce_number(t) for t in texts]
-    any_text = text.isin(*texts)
-    if any(v in (None, "") for v in values):
-        any_text = text.isNull() | (text == "") | any_text
-    return holds(number.isin(*numbers)) | holds(any_text)
+def _is_in(c: Column, text: Column, number: Column, numeric: bool, values: list[Any]) -> Column:
+    texts = [literal_text(v) for v in values if not _empty(v)]
+    found = F.lit(False)
+    if texts:
+        found = holds(number.isin(*[coerce_number(t) for t in texts]))
+        if not numeric:
+            found = found | holds(text.isin(*texts))
+    if len(texts) < len(values):
+        found = found | (c.isNull() if numeric else text.isNull() | (text == ""))
+    return found
 
 
-def _ordered(c, data_type, text: Column, number: Column, operator: str, value: Any) -> Column:
+def _ordered(
+    c: Column, text: Column, number: Column, numeric: bool, blank: Column, operator: str, value: Any
+) -> Column:
     compare = _ORDERINGS[operator]
     wanted = literal_text(value)
-    wanted_number = coerce_number(wanted)
-    if isinstance(data_type, T.NumericType) and isinstance(value, (int, float)) and not isinstance(value, bool):
+    if numeric and isinstance(value, (int, float)) and not isinstance(value, bool):
         # A number cell against a number: nothing to coerce. The bare
         # comparison reaches the scan; the other one rejects a NaN.
         return compare(c, F.lit(value)) & number.isNotNull()
     # Each comparison is null unless both sides can be read that way.
     verdict = F.coalesce(
-        compare(number, wanted_number),
+        compare(number, coerce_number(wanted)),
         compare(coerce_date(text), coerce_date(wanted)),
         compare(text, wanted),
     )
-    return ~is_blank(text) & verdict
+    return ~blank & verdict
 
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def sort_keys(c: Column, data_type: T.DataType, descending: bool = False) -> list[Column]:
+def sort_keys(c: Column, data_type: T.DataType) -> list[Column]:
     """Empty cells, then numbers by value, then text in locale order."""
     number = number_of(c, data_type)
     if isinstance(data_type, T.NumericType):
-        keys = [number.isNotNull(), number]
-    else:
-        text = text_of(c, data_type)
-        rank = F.when(text.isNull() | (text == ""), 0).when(number.isNotNull(), 1).otherwise(2)
-        keys = [rank, number, F.collate(F.when(rank == 2, text), "UNICODE")]
-    return [k.desc() if descending else k.asc() for k in keys]
+        return [number.isNotNull(), number]
+    text = text_of(c, data_type)
+    empty = text.isNull() | (text == "")
+    return [
+        F.when(empty, 0).when(number.isNotNull(), 1).otherwise(2),
+        number,
+        F.when(~empty & number.isNull(), F.collate(text, "UNICODE")),
+    ]

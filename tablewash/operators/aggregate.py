@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.functions.compare import sort_keys
 from tablewash.functions.numbers import exact_mean, exact_sum
 from tablewash.functions.text import is_blank
-from tablewash.operators.query import MAX_PAGE, PAGE_SIZE, direction_of
-from tablewash.operators.table import RID, cell_number, cell_text, col, column_type, require_columns
+from tablewash.operators.query import MAX_PAGE, PAGE_SIZE, in_order
+from tablewash.operators.table import RID, cell_number, cell_text, col, require_columns
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max", "distinct")
 BLANK_GROUP = "(blank)"
@@ -55,12 +54,11 @@ def aggregate_groups(df: DataFrame, group_by: list[str], metrics: list[dict] | N
 
 
 def sorted_groups(groups: DataFrame, sort_by: dict | None = None, limit: int = PAGE_SIZE) -> DataFrame:
-    order = [F.col(FIRST)]
+    output = [c for c in groups.columns if c != FIRST]
     if sort_by:
         require_columns(groups.drop(FIRST), [sort_by["column"]])
-        name = sort_by["column"]
-        order = [*sort_keys(col(name), column_type(groups, name), direction_of(sort_by)), F.col(FIRST)]
-    return groups.orderBy(*order).limit(min(limit, MAX_PAGE)).drop(FIRST)
+    page = in_order(groups, sort_by, FIRST).limit(min(limit, MAX_PAGE))
+    return page.select(*[col(c) for c in output])
 
 
 def aggregate(

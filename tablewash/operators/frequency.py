@@ -19,7 +19,7 @@ from tablewash.functions.text import is_blank, strip
 from tablewash.operators.table import RID, cell_text, col, column_list, data_columns, require_columns
 
 
-def _settled(grouped: DataFrame, keys: list[str], always: Column) -> DataFrame:
+def settled(grouped: DataFrame, keys: list[str], always: Column) -> DataFrame:
     """Tie grouping keys to the aggregates by a condition that always holds.
 
     Spark would push each reader's filters on the keys below the grouping, run
@@ -49,7 +49,7 @@ class Frequencies:
         grouped = cells.groupBy("column", "value").agg(
             F.count(F.lit(1)).alias("cnt"), F.min(RID).alias("first_rid")
         )
-        self.vf = _settled(grouped, ["column", "value"], (F.col("cnt") > 0) & F.col("first_rid").isNotNull())
+        self.vf = settled(grouped, ["column", "value"], (F.col("cnt") > 0) & F.col("first_rid").isNotNull())
         self._stats: DataFrame | None = None
 
     @property
@@ -167,4 +167,4 @@ class Frequencies:
         """``(column, num, cnt)``: distinct numbers of the number columns."""
         parsed = self.of_type("number").select("column", coerce_number(F.col("value")).alias("num"), "cnt")
         grouped = parsed.groupBy("column", "num").agg(F.sum("cnt").alias("cnt"))
-        return _settled(grouped, ["column", "num"], F.col("cnt") > 0).where("num is not null")
+        return settled(grouped, ["column", "num"], F.col("cnt") > 0).where("num is not null")

@@ -29,19 +29,23 @@ def filter_rows(df: DataFrame, filters: list[dict]) -> DataFrame:
     )
 
 
-def direction_of(sort: dict) -> bool:
-    direction = sort.get("direction") or "asc"
-    if direction not in ("asc", "desc"):
-        raise ValueError(f'Unknown sort direction "{direction}". Use asc or desc.')
-    return direction == "desc"
-
+def in_order(df: DataFrame, sort: dict | None, last: str = RID) -> DataFrame:
+    """Sort by ``{column, direction}``, ties by the column ``last``.
 
-def row_order(df: DataFrame, sort: dict | None) -> list[Column]:
+    The keys become columns first. As expressions in the ordering they would
+    be worked out again for every comparison.
+    """
     if not sort:
-        return [F.col(RID)]
-    require_columns(df, [sort["column"]])
-    keys = sort_keys(col(sort["column"]), column_type(df, sort["column"]), direction_of(sort))
-    return [*keys, F.col(RID)]
+        return df.orderBy(last)
+    column, direction = sort["column"], sort.get("direction") or "asc"
+    require_columns(df, [column])
+    if direction not in ("asc", "desc"):
+        raise ValueError(f'Unknown sort direction "{direction}". Use asc or desc.')
+    keys = sort_keys(col(column), column_type(df, column))
+    names = [f"_s{i}" for i in range(len(keys))]
+    by = [F.desc(n) if direction == "desc" else F.asc(n) for n in names]
+    keyed = df.select("*", *[k.alias(n) for k, n in zip(keys, names)])
+    return keyed.orderBy(*by, last)
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,6 @@ def query_rows(
     require_columns(df, chosen)
     found = filter_rows(df, filters or [])
     # The order may need columns that the projection leaves out.
-    page = found.orderBy(*row_order(df, sort)).offset(offset).limit(min(limit, MAX_PAGE))
+    page = in_order(found, sort).offset(offset).limit(min(limit, MAX_PAGE))
     matched = found.agg(F.count(F.lit(1)).alias("matched_rows"))
     return Page(page.select(*[col(c) for c in chosen]), matched)

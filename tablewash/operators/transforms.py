@@ -21,10 +21,10 @@ from tablewash.functions.dates import coerce_date
 from tablewash.functions.numbers import coerce_number, exact_mean
 from tablewash.functions.text import is_blank, num_text, strip
 from tablewash.operators.fill import with_value_above
-from tablewash.operators.frequency import Frequencies
+from tablewash.operators.frequency import Frequencies, settled
 from tablewash.operators.issues import VARIANTS_MAPPING, category_mapping, row_keys
 from tablewash.operators.quantile import exact_quantiles
-from tablewash.operators.query import condition, row_order
+from tablewash.operators.query import condition, in_order
 from tablewash.operators.table import RID, cell_number, cell_text, col, data_columns, is_text, require_columns
 
 # Up to this many entries a mapping is an expression, beyond it a join.
@@ -151,8 +151,10 @@ def _mode(df: DataFrame, column: str) -> Column:
 
 def median_of(numbers: DataFrame) -> DataFrame:
     """One row at most, from the numbers of one column."""
-    counts = numbers.where("num is not null").groupBy("num").agg(F.count(F.lit(1)).alias("cnt"))
-    return exact_quantiles(counts.select(F.lit("").alias("column"), "num", "cnt"), [0.5]).select("value")
+    grouped = numbers.groupBy("num").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = settled(grouped, ["num"], F.col("cnt") > 0).where("num is not null")
+    one_column = counts.select(F.when(F.col("cnt") > 0, "").alias("column"), "num", "cnt")
+    return exact_quantiles(one_column, [0.5]).select("value")
 
 
 _STRATEGIES = ("constant", "mean", "median", "mode", "forward")
@@ -363,8 +365,7 @@ def sort_rows(df: DataFrame, params: dict) -> Step:
     result before using it more than once: ids depend on the task layout.
     """
     _required(params, "column")
-    order = row_order(df, params)
-    ordered = df.orderBy(*order).select(
+    ordered = in_order(df, params).select(
         F.monotonically_increasing_id().alias(RID), *[col(c) for c in data_columns(df)]
     )
     words = f'"{params["column"]}" {params.get("direction") or "asc"}'
