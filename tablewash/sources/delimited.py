@@ -15,6 +15,8 @@ SAMPLE_LINES = 20
 SAMPLE_CHARS = 64 * 1024
 
 _PARTITION_BITS = 33  # of monotonically_increasing_id, below the partition
+# Some 200 bytes each; beyond this many the lookup joins by shuffle.
+_BROADCAST_BLOCKS = 200_000
 _QUOTED = r'"[^"]*("|\z)'
 
 
@@ -100,6 +102,13 @@ def _cells(width: int) -> list[Column]:
     return [F.nullif(F.col(f"_c{i}"), F.lit("")) for i in range(width)]
 
 
+def _most_blocks(scan: DataFrame, files: int) -> int:
+    """Upper bound on the file blocks of a scan, from what planning knows."""
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    smallest = scan.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    return files + size // max(smallest, 1)
+
+
 def _in_file_order(scan: DataFrame) -> DataFrame:
     """Row ids that follow file name, then place in the file.
 
@@ -107,11 +116,14 @@ def _in_file_order(scan: DataFrame) -> DataFrame:
     into tasks by size, so their blocks (one row each) are ranked by place.
     """
     counted = F.monotonically_increasing_id()
-    if len(scan.inputFiles()) < 2:
+    files = len(scan.inputFiles())
+    if files < 2:
         return scan.select(counted.alias(RID), "*")
     place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
     blocks = scan.select(*place).distinct()
     ranked = blocks.select("*", F.row_number().over(Window.orderBy("_path", "_start")).alias("_block"))
+    if _most_blocks(scan, files) <= _BROADCAST_BLOCKS:
+        ranked = F.broadcast(ranked)
     inside = F.col("_id").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     placed = scan.select(counted.alias("_id"), *place, "*").join(ranked, ["_path", "_start"])
     rid = F.shiftleft(F.col("_block").cast("bigint"), _PARTITION_BITS).bitwiseOR(inside)
