@@ -59,6 +59,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         # Equal code then compiles once, whatever its place in the plan.
         .config("spark.sql.codegen.useIdInClassName", "false")
+        # Small shuffles still use all cores: cells cost time, not bytes.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
