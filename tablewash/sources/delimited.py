@@ -104,8 +104,8 @@ def _cells(width: int) -> list[Column]:
 
 def _most_blocks(scan: DataFrame, files: int) -> int:
     """Upper bound on the file blocks of a scan, from what planning knows."""
-    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    smallest = scan.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    smallest = int(str(scan.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()))
     return files + size // max(smallest, 1)
 
 
