@@ -67,9 +67,7 @@ def _counts(rows: DataFrame, ranges: list[_Range], bits: int) -> dict[_Range, li
             values = [(*r.fixed, r.prefix) if shift < 64 else r.fixed for r in members]
             picks = rows.sparkSession.createDataFrame(values, ", ".join(f"{n} long" for n in names))
             on = [k == picks[n] for k, n in zip(keys, names, strict=True)]
-            chosen = rows.join(picks, on, "inner")
-        else:
-            chosen = rows
+            chosen = rows.join(F.broadcast(picks), on)  # one row a splitter at most
         probe = F.shiftright(part, shift - step)
         by = {(*r.fixed, r.prefix) if shift < 64 else r.fixed: r for r in members}
         group = [*names, "_probe"]
