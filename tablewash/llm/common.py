@@ -7,7 +7,9 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,25 @@ def nth_smallest(frame: DataFrame, key: str, n: int, bits: int = 12) -> tuple[in
             return None
         shift -= step
     return prefix, below
+
+
+def map_texts(
+    docs: DataFrame,
+    function: Callable[[pa.Array, list[bytes]], pa.RecordBatch],
+    schema: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Apply a function to (ids, texts as UTF-8 bytes) of each Arrow batch; null texts count as empty."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield function(batch.column(0), batch.column(1).to_pylist())
+
+    return docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(mapped, schema)
+
+
+def hash_sample(frame: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n distinct ids, those with the smallest seeded hash: the same ones whatever the partitions."""
+    ids = frame.select(F.col(id_col).alias("doc_id")).filter(F.col(id_col).isNotNull()).distinct()
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)

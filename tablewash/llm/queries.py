@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewash.llm import line_crf, page_model, resampling, viterbi_pieces
 from tablewash.llm.sharding import histogram_shards
 from tablewash.llm.url_filters import filter_urls
 
@@ -17,6 +19,8 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 SHARDS = 40
+#: Where the tokenizer's file lies; TOKENIZER_FILE overrides it.
+PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +32,34 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.label_lines(docs, line_crf.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_model.extract_pages(_table(spark, sf_dir, "pages"), page_model.trained())
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_pieces.encode_texts(_table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
+    "op5_line_crf": op5_line_crf,
+    "op6_importance_resampling": op6_importance_resampling,
+    "op7_page_tree": op7_page_tree,
     "op8_histogram_shards": op8_histogram_shards,
+    "op10_streaming_viterbi": op10_streaming_viterbi,
 }
 
 ORACLES: dict[str, str] = {
