@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import line_crf, page_model, resampling, viterbi_pieces
+from tablewash.llm import line_crf, page_model, resampling, simhash_trie, viterbi_pieces
 from tablewash.llm.sharding import histogram_shards
 from tablewash.llm.url_filters import filter_urls
 
@@ -27,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
@@ -54,6 +58,7 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_trie": op1_simhash_trie,
     "op4_url_filters": op4_url_filters,
     "op5_line_crf": op5_line_crf,
     "op6_importance_resampling": op6_importance_resampling,
