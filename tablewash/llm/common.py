@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -104,3 +105,11 @@ def hash_sample(frame: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFr
     """At most n distinct ids, those with the smallest seeded hash: the same ones whatever the partitions."""
     ids = frame.select(F.col(id_col).alias("doc_id")).filter(F.col(id_col).isNotNull()).distinct()
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps: Spark deletes shuffle files once the driver's JVM has collected their plans."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

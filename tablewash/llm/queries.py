@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import line_crf, page_model, resampling, simhash_trie, viterbi_pieces
+from tablewash.llm import decontaminate, doubling, line_crf, page_model, resampling, simhash_trie, viterbi_pieces
 from tablewash.llm.sharding import histogram_shards
 from tablewash.llm.url_filters import filter_urls
 
@@ -31,6 +31,10 @@ def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.remove_repeated_windows(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
@@ -53,21 +57,64 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_pieces.encode_texts(_table(spark, sf_dir, "documents"), PIECES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
+    "op2_level_doubling": op2_level_doubling,
     "op4_url_filters": op4_url_filters,
     "op5_line_crf": op5_line_crf,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_page_tree": op7_page_tree,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_minhash_containment": op9_minhash_containment,
     "op10_streaming_viterbi": op10_streaming_viterbi,
 }
 
+#: Words as all operators here cut them.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _five_words(table: str, key: str) -> str:
+    words = _WORDS.format(_LOWER.format("coalesce(text, '')"))
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS g
+      FROM (SELECT {key}, {words} AS w FROM {table}) x, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_level_doubling": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i)
+), m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g
+), gone AS (
+  SELECT DISTINCT s.doc_id, s.i + k AS p FROM s JOIN m USING (g), unnest(range(0, 13)) AS o(k) WHERE m.least < s.doc_id
+), kept AS (
+  SELECT x.doc_id, string_agg(x.v, ' ' ORDER BY x.p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (doc_id, p)
+  GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+""",
+    "op9_minhash_containment": f"""
+WITH d AS ({_five_words("documents", "doc_id")}
+), q AS ({_five_words("benchmark", "item_id")}
+), n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shingles AS containment
+FROM d JOIN q USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles
+HAVING 10 * count(*) >= 8 * item_shingles
+""",
     "op4_url_filters": r"""
 WITH parts AS (
   SELECT page_id,
