@@ -11,29 +11,29 @@ from tablewash.llm.common import checkpointed
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a long, b long); a component is named by its smallest node.
 
-    Each round a node takes the smallest label among its neighbours' and then
-    that label's own label, so labels travel twice as far each round. A round
-    is written to the shared folder before the next. Links may repeat; links of
-    a node with itself and null ends are dropped. No links give no rows.
+    Each round every node is merged with its smallest neighbour, all along the
+    trees that this gives, and the links are drawn anew between what is left, each once, so that later rounds see
+    few of them. A round is written to the shared folder before the next. Links
+    may repeat; links of a node with itself and null ends are dropped. No links
+    give no rows.
     """
     clean = links.filter("a <> b").select("a", "b")
     both = checkpointed(clean.union(clean.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node"))
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
+    names = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    while both.limit(1).count():
+        into = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("x"), "to")
+        into = checkpointed(into)
+        # Nodes that point to smaller ones form trees: follow the pointers, twice as far each time, to the roots.
+        while True:
+            further = into.select(F.col("x").alias("y"), F.col("to").alias("next"))
+            into = checkpointed(into.join(further, F.col("to") == F.col("y")).select("x", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
+            if not into.filter("moved").limit(1).count():
+                break
+        names = names.join(into, F.col("component") == F.col("x"), "left").select(
+            "node", F.coalesce("to", "component").alias("component")
         )
-        stepped = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.col("label").alias("before"), F.least("label", "near").alias("label")
-        )
-        of = labels.select(F.col("node").alias("_of"), F.col("label").alias("_label"))
-        jumped = stepped.join(of, F.col("label") == F.col("_of")).select(
-            "node", "before", F.least("label", "_label").alias("label")
-        )
-        jumped = checkpointed(jumped)
-        changed = jumped.filter("label <> before").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        names = checkpointed(names)
+        left = both.filter("a < b").join(into, F.col("a") == F.col("x")).select(F.col("to").alias("a"), "b")
+        left = left.join(into, F.col("b") == F.col("x")).select("a", F.col("to").alias("b")).filter("a <> b").distinct()
+        both = checkpointed(left.union(left.select("b", "a")).distinct())
+    return names
