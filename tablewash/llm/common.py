@@ -8,9 +8,10 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def map_texts(
     """Apply a function to (ids, texts as UTF-8 bytes) of each Arrow batch; null texts count as empty."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 8 << 20):
             yield function(batch.column(0), batch.column(1).to_pylist())
 
     return docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text")).mapInArrow(mapped, schema)
@@ -113,3 +114,17 @@ def release(spark: SparkSession) -> None:
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a binary column holds `limit` bytes at most, or one row: what a task holds stays bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for row, size in enumerate(sizes.tolist()):
+            if held and held + size > limit:
+                yield batch.slice(start, row - start)
+                start, held = row, 0
+            held += size
+        if batch.num_rows > start or not batch.num_rows:
+            yield batch.slice(start)

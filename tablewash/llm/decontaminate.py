@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import stored, utf8
+from tablewash.llm.common import slices, stored, utf8
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CACHED_WORDS = 500_000
@@ -141,7 +141,7 @@ def contained_items(
         # The longest document decides which partitions apply; each adds the classes below it.
         levels = shipped.value
         drop = np.uint64(64 - bits)
-        for batch in batches:
+        for batch in slices(batches, 2):
             who, hashes, found = [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 words = text.lower().split()

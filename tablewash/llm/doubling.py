@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import release, stored, utf8
+from tablewash.llm.common import release, slices, stored, utf8
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93))
 _CACHED_WORDS = 500_000
@@ -100,7 +100,7 @@ def _anchor_rows(length: int, low: int, pairs: bool):
     """Per batch: with `pairs` the distinct (hash, doc) of anchors, else each hash with its smallest and largest doc."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs = batch.column(0).to_numpy()
             made = _Batch(batch.column(1).to_pylist(), length)
             h, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -132,7 +132,7 @@ def _window_rows(length: int, low: int):
     """(doc, a, b) of full windows whose anchor is among the document's repeated ones; a and b hash the window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             docs = batch.column(0).to_numpy()
             made = _Batch(batch.column(1).to_pylist(), length)
             a = b = np.empty(0, np.uint64)
@@ -140,7 +140,7 @@ def _window_rows(length: int, low: int):
             if made.whole.any():
                 _, least = made.anchors(length, low)
                 marks = batch.column(2)
-                owner = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+                owner = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy())
                 known = marks.flatten().to_numpy().view(np.uint64)
                 wanted = _member(least, made.row[: least.size], known, owner) & made.whole
                 a = window_hashes(made.hashes, length)[wanted]
@@ -221,7 +221,7 @@ def remove_repeated_windows(
     joined = asked.join(gone, F.col("doc_id").cast("long") == F.col("doc"), "left").select("doc_id", "text", "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             counts, removed, digests, texts = [], [], [], []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = text.split()
