@@ -25,7 +25,7 @@ from tablewash.llm.common import map_texts
 SPACE = "▁"
 #: Fixed value: how far below the worst piece a character without a piece scores.
 _UNKNOWN_PENALTY = 10.0
-_CACHED_UNITS = 200_000
+_CACHED_UNITS = 300_000
 _CACHED_LENGTH = 64
 #: The vocabulary goes to every executor: it may not be larger.
 MAX_MODEL_BYTES = 64 << 20
@@ -41,23 +41,37 @@ class Vocabulary:
         self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == "unknown"), 0)
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min((s for _, s in self.ids.values()), default=0.0) - _UNKNOWN_PENALTY
-        self.shown: list[bytes] = []
-        for p, _, kind in pieces:
+        #: Pieces from their last character back: character -> (characters before, id or -1, score).
+        self.backward: dict = {}
+        for p, (i, score) in self.ids.items():
+            level = self.backward
+            for c in reversed(p[1:]):
+                level = level.setdefault(c, ({}, -1, 0.0))[0]
+            before = level.get(p[0], ({}, -1, 0.0))[0]
+            level[p[0]] = (before, i, score)
+        self.shown: dict[int, bytes] = {}
+        for i, (p, _, kind) in enumerate(pieces):
             if kind == "normal":
-                self.shown.append(p.replace(SPACE, " ").encode())
+                self.shown[i] = p.replace(SPACE, " ").encode()
             elif kind == "byte":
-                self.shown.append(bytes([int(p[3:5], 16)]))
+                self.shown[i] = bytes([int(p[3:5], 16)])
             else:
-                self.shown.append(" ⁇ ".encode() if kind == "unknown" else b"")
+                self.shown[i] = " ⁇ ".encode() if kind == "unknown" else b""
         inner = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
-        #: No piece crosses these, so all paths meet there and the units between them are independent.
-        marks = all(a == SPACE for a, b in inner if b == SPACE)
+        #: No piece crosses these, so all paths meet there and the units between them are independent: before a
+        #: run of space marks, around a line feed, between a letter and a mark of punctuation.
+        words = all(a == SPACE for a, b in inner if b == SPACE)
         lines = all("\n" not in pair for pair in inner)
-        stop = "\n" if lines else ""
-        if marks:
-            self.units = f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + ("|\n" if lines else "")
-        else:
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        after_letters = {b for a, b in inner if letter(a)}
+        marks = {c for p in self.ids for c in p if not c.isalnum()} - after_letters - {SPACE, "\n", "_"}
+        stops = re.escape("".join(sorted(marks)))
+        if not words:
             self.units = "[^\n]+|\n" if lines else r"(?s).+"
+        else:
+            rest = f"[^{SPACE}" + ("\n]" if lines else "]")
+            tail = f"[^\\W\\d_]++(?=[{stops}])|" if stops else ""
+            self.units = f"{SPACE}*(?:{tail}{rest}+)|{SPACE}+" + ("|\n" if lines else "")
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -87,28 +101,31 @@ def stream(text: Iterable[str], words: Vocabulary) -> Iterator[tuple[int, ...]]:
     pending: list[str] = []  # characters since the last commit
     best: list[float] = [0.0]  # by boundary since the last commit
     back: list[int] = [0]
-    step: list[tuple[int, ...]] = [()]
-    longest, find = words.longest, words.ids.get
+    step: list[int | tuple[int, ...]] = [()]
+    longest, backward, known, due = words.longest, words.backward, words.ids, 2 * words.longest
+    end = 0
     for character in text:
         pending.append(character)
-        end = len(pending)
-        top, source, ids = None, end - 1, ()
-        tail = "".join(pending[max(0, end - longest) :])
-        for start in range(len(tail)):
-            hit = find(tail[start:])
-            if hit:
-                at = end - len(tail) + start
-                score = best[at] + hit[1]
-                if top is None or score > top:
-                    top, source, ids = score, at, (hit[0],)
-        if character not in words.ids:
-            score = best[end - 1] + words.unknown_score
+        top, source, taken = None, end, ()
+        level = backward
+        for at in range(end, -1, -1):
+            found = level.get(pending[at])
+            if found is None:
+                break
+            level, piece, gain = found
+            if piece >= 0:
+                score = best[at] + gain
+                if top is None or score >= top:
+                    top, source, taken = score, at, piece
+        if top is None or character not in known:
+            score = best[end] + words.unknown_score
             if top is None or score > top:
-                top, source, ids = score, end - 1, words.fallback(character)
+                top, source, taken = score, end, words.fallback(character)
+        end += 1
         best.append(top)
         back.append(source)
-        step.append(ids)
-        if end >= 2 * longest:
+        step.append(taken)
+        if end >= due:
             # Boundaries a later piece can start from; follow their paths back until they meet.
             live = set(range(end - longest + 1, end + 1))
             while len(live) > 1:
@@ -118,36 +135,51 @@ def stream(text: Iterable[str], words: Vocabulary) -> Iterator[tuple[int, ...]]:
             met = live.pop()
             if met:
                 yield _path(met, back, step)
-                pending = pending[met:]
+                del pending[:met]
                 base = best[met]
                 best = [b - base for b in best[met:]]
                 back = [max(0, b - met) for b in back[met:]]
                 step = step[met:]
-    yield _path(len(pending), back, step)
+                end -= met
+            due = end + longest
+    yield _path(end, back, step)
 
 
-def _path(end: int, back: list[int], step: list[tuple[int, ...]]) -> tuple[int, ...]:
-    runs = []
+def _path(end: int, back: list[int], step: list[int | tuple[int, ...]]) -> tuple[int, ...]:
+    """The ids up to a boundary; a step is a piece's id or the ids of a character without one."""
+    ids: list[int] = []
     while end:
-        runs.append(step[end])
+        taken = step[end]
+        if taken.__class__ is int:
+            ids.append(taken)
+        else:
+            ids.extend(reversed(taken))
         end = back[end]
-    return tuple(chain.from_iterable(reversed(runs)))
+    ids.reverse()
+    return tuple(ids)
 
 
 class Codec(dict):
-    """Encodes and decodes; remembers the ids of short units (the text between sure boundaries)."""
+    """Encodes and decodes; remembers the ids of short units (the text between sure boundaries).
+
+    When full it forgets what was not asked for since it was last full.
+    """
 
     def __init__(self, words: Vocabulary) -> None:
         super().__init__()
         self.words = words
         self.split = re.compile(words.units).findall
         self.mark = words.fallback(SPACE)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        if len(self) >= _CACHED_UNITS:
-            self.clear()
-        found = tuple(chain.from_iterable(stream(unit, self.words)))
+        found = self.older.get(unit)
+        if found is None:
+            found = tuple(chain.from_iterable(stream(unit, self.words)))
         if len(unit) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED_UNITS:
+                self.older = dict(self)
+                self.clear()
             self[unit] = found
         return found
 
@@ -166,11 +198,10 @@ class Codec(dict):
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        shown = self.words.shown
-        ids = list(ids)
-        if ids and not 0 <= min(ids) <= max(ids) < len(shown):
-            raise ValueError("An id is outside the vocabulary.")
-        text = b"".join(map(shown.__getitem__, ids)).decode("utf-8", "replace")
+        try:
+            text = b"".join(map(self.words.shown.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError as error:
+            raise ValueError("An id is outside the vocabulary.") from error
         return text[1:] if self.words.prefix and text.startswith(" ") else text
 
 
