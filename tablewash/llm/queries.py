@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import decontaminate, doubling, line_crf, page_model, resampling, simhash_trie, viterbi_pieces
+from tablewash.llm import decontaminate, doubling, line_crf, page_model, resampling, simhash_trie, suffix_dedup, viterbi_pieces
 from tablewash.llm.sharding import histogram_shards
 from tablewash.llm.url_filters import filter_urls
 
@@ -35,6 +35,10 @@ def op2_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.remove_repeated_windows(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
@@ -69,6 +73,7 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
     "op2_level_doubling": op2_level_doubling,
+    "op3_suffix_array": op3_suffix_array,
     "op4_url_filters": op4_url_filters,
     "op5_line_crf": op5_line_crf,
     "op6_importance_resampling": op6_importance_resampling,
