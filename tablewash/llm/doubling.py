@@ -96,34 +96,33 @@ class _Batch:
         return below, _smallest(below, length - low + 1)
 
 
-def _anchor_rows(length: int, low: int, pairs: bool):
-    """Per batch: with `pairs` the distinct (hash, doc) of anchors, else each hash with its smallest and largest doc."""
+def _anchor_rows(length: int, low: int, spread: bool):
+    """Per batch: with `spread` each anchor with its smallest and largest text name, else the distinct (anchor, doc)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            docs = batch.column(0).to_numpy()
+            names = batch.column(0).to_numpy()
             made = _Batch(batch.column(1).to_pylist(), length)
-            h, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
+            h, name = np.empty(0, np.uint64), np.empty(0, np.int64)
             if made.whole.any():
                 _, least = made.anchors(length, low)
-                h, doc = least[made.whole], docs[made.row[: least.size][made.whole]]
+                h, name = least[made.whole], names[made.row[: least.size][made.whole]]
                 # A window and its neighbour mostly share the anchor.
                 new = np.ones(h.size, bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[new], doc[new]
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
+                h, name = h[new], name[new]
+                order = np.lexsort((name, h))
+                h, name = h[order], name[order]
             fresh = np.ones(h.size, bool)
             fresh[1:] = h[1:] != h[:-1]
-            if pairs:
-                fresh[1:] |= doc[1:] != doc[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(doc[fresh])], ["h", "doc"])
-            else:
+            if spread:
                 at = np.flatnonzero(fresh)
                 last = np.append(at[1:], h.size) - 1 if at.size else at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(doc[at]), pa.array(doc[last])], ["h", "low", "high"]
-                )
+                columns, labels = [h[at].view(np.int64), name[at], name[last]], ["h", "low", "high"]
+            else:
+                fresh[1:] |= name[1:] != name[:-1]
+                columns, labels = [h[fresh].view(np.int64), name[fresh]], ["h", "doc"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], labels)
 
     return cut
 
@@ -176,29 +175,49 @@ def _member(values: np.ndarray, rows: np.ndarray, known: np.ndarray, owner: np.n
     return found
 
 
+def _name(text: bytes) -> int:
+    """What xxhash64 gives in a query."""
+    found = xxhash.xxh64_intdigest(text, 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
 def removed_windows(docs: DataFrame, length: int = 13, lowest: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and removed (hashes of its windows that also start in a document with a smaller id), for documents with any."""
+    """doc, removed and copies, for documents that lose words.
+
+    removed: hashes of its windows that also start in a document with a smaller
+    id; copies: names of texts that a document with a smaller id has as a whole.
+    """
     low = levels(length, lowest)
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), utf8(F.col(text_col)).alias("text"))
-    # Lowest level: anchors that occur in two documents.
-    spread = texts.mapInArrow(_anchor_rows(length, low[0], False), "h long, low long, high long")
+    text = utf8(F.col(text_col))
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    # Equal texts: the one with the smallest id stands for all.
+    name = F.xxhash64("text")
+    digests = stored(texts.select("doc", name.alias("t1"), F.xxhash64(F.concat(F.lit(b"2"), F.col("text"))).alias("t2")), "digests")
+    owners = digests.groupBy(F.col("t1").alias("o1"), F.col("t2").alias("o2")).agg(F.min("doc").alias("own"))
+    owned = stored(digests.join(owners, (F.col("t1") == F.col("o1")) & (F.col("t2") == F.col("o2"))).select("doc", "t1", "own"), "owned")
+    standing = owned.filter("doc = own").select(F.col("doc").alias("s")).distinct()
+    copies = owned.filter("doc > own").groupBy(F.col("doc").alias("c")).agg(F.collect_set("t1").alias("copies"))
+    # Lowest level: anchors that occur in two texts.
+    spread = texts.select(name.alias("t1"), "text").mapInArrow(_anchor_rows(length, low[0], True), "h long, low long, high long")
     repeated = stored(
         spread.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select(F.col("h").alias("k")),
         "anchors",
     )
     release(docs.sparkSession)
-    own = texts.mapInArrow(_anchor_rows(length, low[0], True), "h long, doc long").join(repeated, F.col("h") == F.col("k"))
-    marks = stored(own.groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("marks")), "marks")
+    own = texts.mapInArrow(_anchor_rows(length, low[0], False), "h long, doc long").join(repeated, F.col("h") == F.col("k"))
+    marks = own.groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("marks"))
+    marks = stored(marks.join(standing, F.col("d") == F.col("s"), "left_semi"), "marks")
     release(docs.sparkSession)
     # Doubled: only windows over a repeated anchor are made.
     marked = texts.join(marks, F.col("doc") == F.col("d")).select("doc", "text", "marks")
     windows = stored(marked.mapInArrow(_window_rows(length, low[0]), "doc long, a long, b long"), "windows")
     release(docs.sparkSession)
-    first = windows.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    first = stored(first.filter("least < most").select("x", "y", "least"), "first")
+    first = windows.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.filter("n > 1").select("x", "y", "least"), "first")
     release(docs.sparkSession)
     later = windows.join(first, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("doc") > F.col("least")))
-    found = stored(later.groupBy("doc").agg(F.collect_set("a").alias("removed")), "removed")
+    found = later.groupBy(F.col("doc").alias("w")).agg(F.collect_set("a").alias("removed"))
+    found = stored(found.join(copies, F.col("w") == F.col("c"), "full").select(F.coalesce("w", "c").alias("doc"), "removed", "copies"), "removed")
     release(docs.sparkSession)
     return found
 
@@ -218,15 +237,19 @@ def remove_repeated_windows(
     """
     gone = removed_windows(docs, length, lowest, id_col, text_col)
     asked = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    joined = asked.join(gone, F.col("doc_id").cast("long") == F.col("doc"), "left").select("doc_id", "text", "removed")
+    joined = asked.join(gone, F.col("doc_id").cast("long") == F.col("doc"), "left").select("doc_id", "text", "removed", "copies")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             counts, removed, digests, texts = [], [], [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, own, copied in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 counts.append(len(words))
-                if own.is_valid and len(words) >= length:
+                if len(words) < length:
+                    pass
+                elif copied and _name(text) in copied:
+                    words = []
+                elif own.is_valid:
                     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
                     starts = np.isin(window_hashes(h, length), own.values.to_numpy().view(np.uint64))
                     edge = np.zeros(len(words) + 1, np.int64)
