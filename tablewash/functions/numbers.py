@@ -12,6 +12,7 @@ from tablewash.functions.text import NUMERIC_TYPES, WS, strip
 CURRENCY_SIGNS = "$€£¥₹"
 
 _NOISE = rf"(?!^ )[{CURRENCY_SIGNS},%{WS}]"
+# Fixed value: what is left of a number once signs and separators are gone.
 _NUMERAL = r"^-?\d*\.?\d+([eE][-+]?\d+)?\z"
 # Fixed value: the shape of a number as people format it.
 _FORMATTED = (

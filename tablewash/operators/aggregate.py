@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tablewash.functions.numbers import exact_mean, exact_sum
 from tablewash.functions.text import is_blank
-from tablewash.operators.query import MAX_PAGE, PAGE_SIZE, in_order
+from tablewash.operators.query import in_order
 from tablewash.operators.table import RID, cell_number, cell_text, col, require_columns
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max", "distinct")
 BLANK_GROUP = "(blank)"
 CHART_SIZE = 12
-MAX_CHART = 40
 CHART_SORTS = ("value_desc", "value_asc", "category_asc")
 CHART_TYPES = ("bar", "line")
 # Hidden: the first row of a group, which orders groups nobody sorted.
@@ -27,7 +26,7 @@ def metric_name(metric: dict) -> str:
 def _metric(df: DataFrame, metric: dict) -> Column:
     fn = metric["fn"]
     if fn not in FUNCTIONS:
-        raise ValueError(f'Unknown aggregate function "{fn}". Use count, sum, avg, min, max or distinct.')
+        raise ValueError(f'"{fn}" is no metric; there are {", ".join(FUNCTIONS)}.')
     if fn == "count":
         return F.count(F.lit(1))
     require_columns(df, [metric.get("column")])
@@ -53,11 +52,13 @@ def aggregate_groups(df: DataFrame, group_by: list[str], metrics: list[dict] | N
     return groups if group_by else groups.where(F.col(FIRST).isNotNull())
 
 
-def sorted_groups(groups: DataFrame, sort_by: dict | None = None, limit: int = PAGE_SIZE) -> DataFrame:
+def sorted_groups(groups: DataFrame, sort_by: dict | None = None, limit: int | None = None) -> DataFrame:
+    """Groups in order, all of them unless a limit is given."""
     output = [c for c in groups.columns if c != FIRST]
     if sort_by:
         require_columns(groups.drop(FIRST), [sort_by["column"]])
-    page = in_order(groups, sort_by, FIRST).limit(min(limit, MAX_PAGE))
+    ordered = in_order(groups, sort_by, FIRST)
+    page = ordered if limit is None else ordered.limit(limit)
     return page.select(*[col(c) for c in output])
 
 
@@ -66,7 +67,7 @@ def aggregate(
     group_by: list[str] | None = None,
     metrics: list[dict] | None = None,
     sort_by: dict | None = None,
-    limit: int = PAGE_SIZE,
+    limit: int | None = None,
 ) -> DataFrame:
     return sorted_groups(aggregate_groups(df, group_by or [], metrics), sort_by, limit)
 
@@ -99,5 +100,5 @@ def chart_series(
         if sort == "category_asc"
         else {"column": value, "direction": "asc" if sort == "value_asc" else "desc"}
     )
-    series = aggregate(df, [group_by], [{**metric, "as": value}], order, min(limit or CHART_SIZE, MAX_CHART))
+    series = aggregate(df, [group_by], [{**metric, "as": value}], order, limit or CHART_SIZE)
     return series.where(col(value).isNotNull())

@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewash.operators.table import RID, col
+from tablewash.operators.table import RID, col, fresh
 
 # Bits of the row id that a bucket spans, then of the bucket number that a
-# group spans, and so on. Row ids are unique, so no bucket holds more than
-# 65,536 rows whatever the data looks like.
+# group spans, and so on up to the whole of 64 bits. Row ids are unique, so no
+# bucket holds more than 65,536 rows and the last window 16, whatever the ids.
 _ROW_BITS = 16
-_FAN_BITS = (12, 12)
+_FAN_BITS = (12, 12, 12, 8)
 
 
 def _from_before(lasts: DataFrame, fans: tuple[int, ...]) -> DataFrame:
     """``(b, carried)`` from ``(b, last)``: the last value of an earlier b."""
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     if not fans:
-        # What is left is one row per 2**40 row ids.
+        # What is left is one row per 2**60 row ids.
         return lasts.select("b", F.last("last", ignorenulls=True).over(before).alias("carried"))
     grouped = lasts.withColumn("g", F.shiftright("b", fans[0]))
     inside = F.last("last", ignorenulls=True).over(
@@ -41,12 +41,13 @@ def with_value_above(df: DataFrame, value: Column, name: str) -> DataFrame:
     One shuffle of the rows by bucket; the join with the carried values uses
     the same partitioning.
     """
-    bucketed = df.select("*", value.alias("_v"), F.shiftright(RID, _ROW_BITS).alias("_b"))
-    seen = F.when(F.col("_v").isNotNull(), F.col(RID))
-    lasts = bucketed.groupBy(F.col("_b").alias("b")).agg(F.max_by("_v", seen).alias("last"))
-    carried = _from_before(lasts, _FAN_BITS).withColumnRenamed("b", "_b").withColumnRenamed("carried", "_c")
-    above = F.last("_v", ignorenulls=True).over(
-        Window.partitionBy("_b").orderBy(RID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v, b, c, a = (fresh(df, n) for n in ("_v", "_b", "_c", "_a"))
+    bucketed = df.select("*", value.alias(v), F.shiftright(RID, _ROW_BITS).alias(b))
+    seen = F.when(col(v).isNotNull(), F.col(RID))
+    lasts = bucketed.groupBy(col(b).alias("b")).agg(F.max_by(col(v), seen).alias("last"))
+    carried = _from_before(lasts, _FAN_BITS).select(F.col("b").alias(b), F.col("carried").alias(c))
+    above = F.last(col(v), ignorenulls=True).over(
+        Window.partitionBy(col(b)).orderBy(RID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    filled = bucketed.withColumn("_a", above).join(carried, "_b", "left")
-    return filled.select(*[col(c) for c in df.columns], F.coalesce("_a", "_c").alias(name))
+    filled = bucketed.withColumn(a, above).join(carried, b, "left")
+    return filled.select(*[col(x) for x in df.columns], F.coalesce(col(a), col(c)).alias(name))

@@ -11,7 +11,6 @@ from tablewash.functions.numbers import weighted_sums
 from tablewash.operators.frequency import Frequencies
 from tablewash.operators.quantile import coarse_histogram, quantiles_of
 
-MAX_SAMPLES = 25
 TOP_VALUES = 10
 
 
@@ -45,8 +44,7 @@ def _first(values: DataFrame, n: int, *order) -> DataFrame:
 
 def sample_values(freq: Frequencies, sample_size: int = 5) -> DataFrame:
     """First distinct non-blank values in order of appearance."""
-    size = min(sample_size or 5, MAX_SAMPLES)
-    return _first(freq.present, size, F.col("first_rid")).select("column", "place", "value")
+    return _first(freq.present, sample_size or 5, F.col("first_rid")).select("column", "place", "value")
 
 
 def top_values(freq: Frequencies) -> DataFrame:
@@ -127,7 +125,7 @@ def profile_columns(freq: Frequencies, sample_size: int = 5) -> DataFrame:
     """Everything about every column, one row each, in column order."""
 
     def gathered(rows: DataFrame, item, name: str) -> DataFrame:
-        # At most MAX_SAMPLES or TOP_VALUES rows per column.
+        # As many rows as asked for, or TOP_VALUES, per column.
         ordered = F.array_sort(F.collect_list(F.struct("place", item.alias("item"))))
         return rows.groupBy("column").agg(F.transform(ordered, lambda x: x["item"]).alias(name))
 

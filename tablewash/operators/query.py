@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.functions.compare import all_of, predicate, sort_keys
-from tablewash.operators.table import RID, col, column_type, data_columns, require_columns
+from tablewash.operators.table import RID, col, column_type, data_columns, fresh, require_columns
 
 PAGE_SIZE = 50
-MAX_PAGE = 200
 
 
 def condition(df: DataFrame, column: str, operator: str = "eq", value: Any = None) -> Column:
@@ -42,8 +41,8 @@ def in_order(df: DataFrame, sort: dict | None, last: str = RID) -> DataFrame:
     if direction not in ("asc", "desc"):
         raise ValueError(f'Unknown sort direction "{direction}". Use asc or desc.')
     keys = sort_keys(col(column), column_type(df, column))
-    names = [f"_s{i}" for i in range(len(keys))]
-    by = [F.desc(n) if direction == "desc" else F.asc(n) for n in names]
+    names = [fresh(df, f"_s{i}") for i in range(len(keys))]
+    by = [col(n).desc() if direction == "desc" else col(n).asc() for n in names]
     keyed = df.select("*", *[k.alias(n) for k, n in zip(keys, names)])
     return keyed.orderBy(*by, last)
 
@@ -69,6 +68,6 @@ def query_rows(
     require_columns(df, chosen)
     found = filter_rows(df, filters or [])
     # The order may need columns that the projection leaves out.
-    page = in_order(found, sort).offset(offset).limit(min(limit, MAX_PAGE))
+    page = in_order(found, sort).offset(offset).limit(limit)
     matched = found.agg(F.count(F.lit(1)).alias("matched_rows"))
     return Page(page.select(*[col(c) for c in chosen]), matched)

@@ -20,6 +20,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until the frame has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != RID]
 

@@ -25,10 +25,8 @@ from tablewash.operators.frequency import Frequencies, settled
 from tablewash.operators.issues import VARIANTS_MAPPING, category_mapping, row_keys
 from tablewash.operators.quantile import exact_quantiles
 from tablewash.operators.query import condition, in_order
-from tablewash.operators.table import RID, cell_number, cell_text, col, data_columns, is_text, require_columns
+from tablewash.operators.table import RID, cell_number, cell_text, col, data_columns, fresh, is_text, require_columns
 
-# Up to this many entries a mapping is an expression, beyond it a join.
-_MAP_LITERALS = 64
 # A mapping handed over as parameters is broadcast up to this many characters.
 _MAP_BROADCAST_CHARS = 32_000_000
 _NULL_BITS = 62
@@ -114,9 +112,10 @@ def _retyped(op: str, df: DataFrame, params: dict, parsed: Column, kept_as: Call
     with ``on_unparseable='keep'``, stays as text in a text column."""
     column = params["column"]
     mode = _one_of("on_unparseable", params.get("on_unparseable", "null"), ("null", "keep"))
-    text, new = cell_text(df, column), F.col("_parsed")
+    helper = fresh(df, "_parsed")
+    text, new = cell_text(df, column), col(helper)
     # A column of its own, so that its several readers share one parse.
-    frame = df.select("*", parsed.alias("_parsed"))
+    frame = df.select("*", parsed.alias(helper))
     lost = ~is_blank(text) & new.isNull()
     if mode == "keep":
         new = F.coalesce(kept_as(new), text)
@@ -184,43 +183,52 @@ def fill_missing(df: DataFrame, params: dict) -> Step:
         if numeric:
             fill, as_is = coerce_number(fill), col(column).cast("double")
     else:
-        frame = with_value_above(df, F.when(~blank, col(column)), "_above")
-        fill = F.col("_above")
+        helper = fresh(df, "_above")
+        frame = with_value_above(df, F.when(~blank, col(column)), helper)
+        fill = col(helper)
     # A blank that nothing fills keeps its text.
     cells = {column: F.when(blank, F.coalesce(fill, as_is)).otherwise(as_is)}
     return _step("fill_missing", params, df, f'Fill blanks in "{column}" ({strategy})', frame=frame, cells=cells)
 
 
+def _plain_text(value: Any) -> str | None:
+    """Text of a parameter that is not a number."""
+    if value is None or (isinstance(value, (int, float)) and not isinstance(value, bool)):
+        return None
+    return ("true" if value else "false") if isinstance(value, bool) else str(value)
+
+
 def map_values(df: DataFrame, params: dict) -> Step:
     """Replace exact texts. The mapping is a dict, a frame ``(variant,
     canonical)`` with unique variants, or the name of the one detection finds."""
     column, mapping = _required(params, "column", "mapping")
     require_columns(df, [column])
     text = cell_text(df, column)
-    if isinstance(mapping, dict) and len(mapping) <= _MAP_LITERALS:
-        mapped = text
-        if mapping:
-            entries = [x for k, v in mapping.items() for x in (F.lit(str(k)), literal_text(v))]
-            known = text.isin(*[str(k) for k in mapping])
-            mapped = F.when(known, F.try_element_at(F.create_map(*entries), text)).otherwise(text)
-        return _step("map_values", params, df, f'Map values of "{column}"', cells={column: mapped})
     if isinstance(mapping, dict):
-        rows = [(str(k), None if v is None else str(v)) for k, v in mapping.items()]
-        lookup = df.sparkSession.createDataFrame(rows, "variant string, canonical string")
-        if sum(len(k) + len(v or "") for k, v in rows) <= _MAP_BROADCAST_CHARS:
+        # Numbers become text by the rules for cells, whatever the mapping's size.
+        rows = [
+            (str(k), float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None, _plain_text(v))
+            for k, v in mapping.items()
+        ]
+        given = df.sparkSession.createDataFrame(rows, "variant string, number double, plain string")
+        lookup = given.select("variant", F.coalesce(num_text(F.col("number")), "plain").alias("canonical"))
+        if sum(len(k) + len(v or "") for k, _, v in rows) <= _MAP_BROADCAST_CHARS:
             lookup = F.broadcast(lookup)
         params = {**params, "mapping": dict(mapping)}
     elif isinstance(mapping, DataFrame):
-        lookup, params = mapping.select("variant", "canonical"), {**params, "mapping": "table"}
+        # A variant listed twice takes the smaller text, null first.
+        lookup = mapping.groupBy("variant").agg(F.min(F.struct("canonical")).alias("c")).select("variant", "c.canonical")
+        params = {**params, "mapping": "table"}
     elif mapping == VARIANTS_MAPPING:
         values = Frequencies(df, [column]).present
         lookup = category_mapping(values).select("variant", "canonical")
     else:
         raise ValueError('Parameter "mapping" must be an object of from: to.')
     # Without a hint Spark broadcasts the lookup if its measured size allows.
-    lookup = lookup.select(F.col("variant").alias("_variant"), F.struct("canonical").alias("_mapped"))
-    frame = df.join(lookup, text == F.col("_variant"), "left")
-    mapped = F.when(F.col("_mapped").isNotNull(), F.col("_mapped.canonical")).otherwise(text)
+    variant, found = fresh(df, "_variant"), fresh(df, "_mapped")
+    lookup = lookup.select(F.col("variant").alias(variant), F.struct("canonical").alias(found))
+    frame = df.join(lookup, text == col(variant), "left")
+    mapped = F.when(col(found).isNotNull(), col(found)["canonical"]).otherwise(text)
     return _step("map_values", params, df, f'Map values of "{column}"', frame=frame, cells={column: mapped})
 
 

@@ -135,7 +135,7 @@ class Recipe:
     def undo(self) -> Applied:
         """Take back the last step. Decisions on proposals stay as they were."""
         if not self.steps:
-            raise ValueError("Nothing to undo — no transforms have been applied.")
+            raise ValueError("No applied step is left to take back.")
         self._versions.pop()
         return self.steps.pop()
 

@@ -20,14 +20,17 @@ _BROADCAST_BLOCKS = 200_000
 _QUOTED = r'"[^"]*("|\z)'
 
 
-def _sample(spark: SparkSession, path: str) -> DataFrame:
-    """First lines of the first file: ``(n, line)``, at most SAMPLE_LINES."""
-    whole = spark.read.option("lineSep", "\n").text(path)
-    files = sorted(whole.inputFiles())
-    first = whole if len(files) < 2 else spark.read.option("lineSep", "\n").text(files[0])
-    lines = first.limit(SAMPLE_LINES).select(
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Whole first lines of the first file: ``(n, line)``, at most SAMPLE_LINES."""
+    first = spark.read.option("lineSep", "\n").text(first_file(spark, path))
+    return first.limit(SAMPLE_LINES).select(
         F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r\z", "").alias("line")
     )
+
+
+def _sample(spark: SparkSession, path: str) -> DataFrame:
+    """The first lines cut to SAMPLE_CHARS in all, for telling the delimiter."""
+    lines = _first_lines(spark, path)
     before = F.sum(F.length("line") + 1).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     room = F.lit(SAMPLE_CHARS) - F.coalesce(before, F.lit(0))
     return lines.select("n", F.substring("line", F.lit(1), F.greatest(room, F.lit(0)).cast("int")).alias("line"))
@@ -73,13 +76,20 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def header_names(cells: list[str | None]) -> list[str]:
-    """Trimmed names; blank ones are numbered, repeated ones suffixed."""
-    seen: dict[str, int] = {}
-    names = []
+    """Trimmed names; blank ones are numbered, repeated ones suffixed.
+
+    No two names agree without regard to case, and none is the row order's.
+    """
+    names: list[str] = []
+    taken = {RID}
     for i, cell in enumerate(cells):
-        name = (cell or "").lstrip("\ufeff").strip(WHITESPACE) or f"column_{i + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        base = (cell or "").lstrip("\ufeff").strip(WHITESPACE) or f"column_{i + 1}"
+        name, again = base, 1
+        while name.lower() in taken:
+            again += 1
+            name = f"{base}_{again}"
+        taken.add(name.lower())
+        names.append(name)
     return names
 
 
@@ -140,7 +150,7 @@ def read_delimited(
     """
     delimiter = delimiter or sniff_delimiter(spark, path)
     first = (
-        _sample(spark, path)
+        _first_lines(spark, path)
         .select(
             "n",
             F.regexp_replace("line", "\ufeff", "").alias("line"),

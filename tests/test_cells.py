@@ -1,8 +1,8 @@
-"""Cell semantics: tables of edge cases, and random texts against a plain reading."""
+"""Cell semantics: tables of edge cases, and texts written from known numbers and dates."""
 
-import math
 import random
-import re
+from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,75 +21,64 @@ from tablewash.functions import (
     strip,
 )
 from tablewash.functions.dates import MONTHS
-from tablewash.functions.text import BLANK_WORDS, WHITESPACE
-
-W = "[" + re.escape(WHITESPACE) + "]"
-
-
-def plain_number(v):
-    if v is None or v.strip(WHITESPACE).lower() in ("", *BLANK_WORDS):
-        return None
-    s, sign = v.strip(WHITESPACE), 1
-    if s[0] == "(" and s[-1] == ")" and len(s) > 1:
-        s, sign = s[1:-1], -1
-    percent = s.strip(WHITESPACE).endswith("%")
-    s = re.sub("[$€£¥₹,%" + re.escape(WHITESPACE) + "]", "", s)
-    if s.startswith("-"):
-        s, sign = s[1:], -1
-    if not re.fullmatch(r"[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?", s) or math.isinf(float(s)):
-        return None
-    return sign * float(s) / (100 if percent else 1) + 0.0
-
-
-def plain_iso(y, m, d):
-    return f"{y:04d}-{m:02d}-{d:02d}" if y and 0 < m <= 12 and 0 < d <= 31 else None
-
-
-def plain_date(v, day_first=False):
-    s = (v or "").strip(WHITESPACE)
-    if m := re.match("([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", s):
-        return plain_iso(*map(int, m.groups()))
-    if m := re.fullmatch("([0-9]{1,4})[/.]([0-9]{1,2})[/.]([0-9]{1,4})", s):
-        a, b, c = map(int, m.groups())
-        if len(m[1]) == 4:
-            return plain_iso(a, b, c)
-        year = c if c >= 100 else c + (1900 if c >= 70 else 2000)
-        return plain_iso(year, b, a) if a > 12 or (b <= 12 and day_first) else plain_iso(year, a, b)
-    for pattern, name, day in (
-        (f"([0-9]{{1,2}}){W}+([A-Za-z]{{3,9}}){W}+([0-9]{{2,4}})", 2, 1),
-        (f"([A-Za-z]{{3,9}}){W}+([0-9]{{1,2}}),?{W}+([0-9]{{2,4}})", 1, 2),
-    ):
-        if (m := re.fullmatch(pattern, s)) and m[name][:3].lower() in MONTHS:
-            year = int(m[3]) + (2000 if int(m[3]) < 100 else 0)
-            return plain_iso(year, MONTHS.index(m[name][:3].lower()) + 1, int(m[day]))
-    return None
-
-
-@pytest.fixture(scope="module")
-def texts():
+
+def written_numbers():
+    """Texts made from known numbers, each with the number it was made from."""
     rng = random.Random(11)
-    alphabet = " \t -.,/%$¥()0123456789eEdJulmaryNn?"
-    out = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(6000)]
-    for _ in range(6000):
-        a, b = str(rng.randint(0, 40)).zfill(rng.randint(1, 3)), str(rng.randint(0, 40)).zfill(rng.randint(1, 2))
-        c = str(rng.choice([rng.randint(0, 120), rng.randint(1900, 2100)])).zfill(rng.randint(1, 4))
-        gap, month = rng.choice([" ", "  ", "\t", " "]), rng.choice([*MONTHS, "July", "AUGUST", "foo"])
-        out.append(
-            rng.choice(
-                [f"{a}/{b}/{c}", f"{c}.{b}.{a}", f"{c}-{b}-{a}", f"{a}{gap}{month}{gap}{c}", f"{month} {b},{gap}{c} "]
-            )
-        )
-    return [None, *out]
+    gaps = ["", " ", "\t", "\u00a0"]
+    for _ in range(3000):
+        value = Decimal(rng.randrange(10 ** rng.randint(1, 9))) / 10 ** rng.choice([0, 0, 2])
+        digits = f"{value:,}" if rng.random() < 0.5 else f"{value}"
+        if rng.random() < 0.3:
+            digits = rng.choice("$€£¥₹") + rng.choice(gaps) + digits
+        style = rng.choice(["plain", "minus", "brackets", "percent"])
+        if style == "minus":
+            digits, value = "-" + digits, -value
+        elif style == "brackets":
+            digits, value = f"({digits})", -value
+        elif style == "percent":
+            digits, value = digits + rng.choice(gaps) + "%", value / 100
+        yield rng.choice(gaps) + digits + rng.choice(gaps), float(value) + 0.0
+
+
+def test_written_numbers_are_read_back(cells):
+    pairs = list(written_numbers())
+    assert cells(coerce_number, [text for text, _ in pairs]) == pytest.approx([value for _, value in pairs])
+
+
+def test_broken_numbers_are_none(cells):
+    rng = random.Random(12)
+    whole = [str(rng.randrange(1, 10**6)) for _ in range(300)]
+    broken = [f(d) for d in whole for f in (lambda d: d + "x", lambda d: "+" + d, lambda d: d + ".", lambda d: d[:1] + "/" + d, lambda d: "1.2." + d)]
+    assert cells(coerce_number, broken) == [None] * len(broken)
+
+
+def written_dates(day_first):
+    """Texts made from known days, each with that day."""
+    rng = random.Random(13)
+    for _ in range(3000):
+        day = date(rng.randint(1970, 2069), 1, 1) + timedelta(days=rng.randrange(365))
+        y, m, d = day.year, day.month, day.day
+        name = MONTHS[m - 1].capitalize() + rng.choice(["", "xx"])
+        short = y if y < 2000 else rng.choice([y, f"{y % 100:02d}"])
+        pair = f"{d}.{m}" if day_first else f"{m}.{d}"
+        texts = [f"{y}-{m:02d}-{d:02d}", f"{y}-{m}-{d} later", f"{y}/{m}/{d}", f"{d} {name} {short}", f"{name} {d},\t{short}"]
+        texts.append(f"{pair}.{rng.choice([y, f'{y % 100:02d}'])}")
+        if d > 12:
+            texts += [f"{d}/{m}/{y}", f"{m}/{d}/{y}"]  # the day says which it is
+        yield rng.choice(["", " ", "\u3000"]) + rng.choice(texts) + rng.choice(["", " "]), day.isoformat()
 
 
-def test_numbers_match_plain_reading(cells, texts):
-    assert cells(coerce_number, texts) == [plain_number(v) for v in texts]
+@pytest.mark.parametrize("day_first", [False, True])
+def test_written_dates_are_read_back(cells, day_first):
+    pairs = list(written_dates(day_first))
+    assert cells(lambda c: coerce_date(c, day_first), [text for text, _ in pairs]) == [day for _, day in pairs]
 
 
-@pytest.mark.parametrize("day_first", [False, True])
-def test_dates_match_plain_reading(cells, texts, day_first):
-    got = cells(lambda c: coerce_date(c, day_first), texts)
-    assert got == [plain_date(v, day_first) for v in texts]
+def test_broken_dates_are_none(cells):
+    texts = [f"{a}/{b}/2020" for a in range(13, 40, 3) for b in range(13, 40, 3)]
+    texts += [f"5 {word} 2020" for word in ("foo", "mai5", "x", "dezember 1")] + [f"2020-{m}-{d}" for m, d in ((0, 1), (1, 0), (13, 1), (1, 32))]
+    assert cells(coerce_date, texts) == [None] * len(texts)
 
 
 def test_number_edges(cells):

@@ -7,7 +7,6 @@ import pytest
 from conftest import SHOP, values
 from pyspark.sql import functions as F
 
-from tablewash.operators import transforms
 from tablewash.operators.diff import diff_examples, diff_frames, diff_summary
 from tablewash.operators.fill import with_value_above
 from tablewash.operators.query import query_rows
@@ -104,10 +103,25 @@ def test_dedup_tells_null_from_empty_in_the_result(spark):
     assert sorted(apply_op(df, "deduplicate").collect()) == sorted([(0, "a", None), (2, "b", ""), (4, None, None)], key=str)
 
 
-def test_maps_beyond_literals_join(spark, shop, monkeypatch):
-    monkeypatch.setattr(transforms, "_MAP_LITERALS", 0)
-    out = apply_op(shop, "map_values", {"column": "city", "mapping": {"lyon ": "Lyon", "nice": None}})
-    assert column(out, "city") == ["Lyon", "Lyon", "LYON", "Lyon", "Nice", None, None, "Nice"]
+def test_maps_of_any_size_agree(shop):
+    mapping = {"lyon ": "Lyon", "nice": None, "Lyon": True, "LYON": 5.0, "Nice": 7}
+    expected = ["true", "Lyon", "5", "true", "7", None, None, "7"]
+    for more in (0, 72, 1500):
+        larger = {**mapping, **{f"k{i}": i for i in range(more)}}
+        assert column(apply_op(shop, "map_values", {"column": "city", "mapping": larger}), "city") == expected
+
+
+def test_a_mapping_table_may_repeat_itself(spark, shop):
+    table = spark.createDataFrame([("nice", "N"), ("nice", "N"), ("nice", "Z")], "variant string, canonical string")
+    out = apply_op(shop, "map_values", {"column": "city", "mapping": table})
+    assert column(out, "city") == ["Lyon", "lyon ", "LYON", "Lyon", "Nice", None, "N", "Nice"]
+
+
+def test_helper_names_leave_the_users_alone(spark):
+    df = spark.createDataFrame([(0, "1", "a", "b"), (1, None, "c", "d")], f"{RID} bigint, _parsed string, _v string, _B string")
+    assert column(apply_op(df, "parse_numbers", {"column": "_parsed"}), "_parsed") == [1.0, None]
+    assert column(apply_op(df, "fill_missing", {"column": "_parsed", "strategy": "forward"}), "_parsed") == ["1", "1"]
+    assert column(apply_op(df, "map_values", {"column": "_v", "mapping": {"a": "x"}}), "_v") == ["x", "c"]
 
 
 def test_forward_fill_across_buckets(spark):
@@ -156,7 +170,7 @@ def test_review_cycle(shop):
     assert recipe.undo().op == "drop_column" and "flag" in recipe.current.columns
     recipe.reset()
     assert recipe.current is shop
-    with pytest.raises(ValueError, match="Nothing to undo"):
+    with pytest.raises(ValueError, match="No applied step"):
         recipe.undo()
 
 
