@@ -57,8 +57,8 @@ def counted(frame: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
     return joined.select(*frame.columns, *((F.col(f"_b_{f}") + F.col(f"_s_{f}")).alias(f"before_{f}") for f in flags))
 
 
-def suffix_ranks(text: DataFrame, depth: int) -> DataFrame:
-    """(seq, pos, rank) of every suffix of `text` (seq, pos, sym, size: all long).
+def suffix_order(text: DataFrame, depth: int) -> DataFrame:
+    """(seq, pos, rank) of every suffix of `text` (seq, pos, sym, size: all long), ranks from 0 without gaps.
 
     pos counts from 0 without gaps in each sequence, sym is not negative, size
     is what the symbol stands for. Ranks put suffixes in the order of their
@@ -66,6 +66,12 @@ def suffix_ranks(text: DataFrame, depth: int) -> DataFrame:
     of another comes first. Suffixes alike to that depth, or to both their
     ends, have neighbouring ranks in some order.
     """
+    merged = _ranks(text, depth).withColumn("one", F.lit(1))
+    return counted(merged, ["rank", "seq", "pos"], ["one"]).select("seq", "pos", F.col("before_one").alias("rank"))
+
+
+def _ranks(text: DataFrame, depth: int) -> DataFrame:
+    """How many suffixes come before each; suffixes that stay alike may share a rank."""
     along = Window.partitionBy("seq").orderBy("pos")
     nexts = [F.lead("sym", k, -1).over(along).alias(f"s{k}") for k in (1, 2)]
     reach = F.col("size") + sum((F.lead("size", k, 0).over(along) for k in (1, 2)), F.lit(0))
@@ -83,7 +89,7 @@ def suffix_ranks(text: DataFrame, depth: int) -> DataFrame:
             F.col("name").alias("sym"),
             F.col("reach").alias("size"),
         )
-        below = suffix_ranks(shorter, depth)
+        below = _ranks(shorter, depth)
         part = F.pmod("seq", F.lit(2))
         ranks = below.select(
             F.shiftright("seq", 1).alias("seq"), (F.col("pos") * 3 + 1 + part).alias("pos"), "rank"
@@ -113,5 +119,4 @@ def suffix_ranks(text: DataFrame, depth: int) -> DataFrame:
         c.filter(f"third = {k}").select("seq", "pos", (F.col("rank") + F.col("before_rest")).alias("rank"))
         for k, c in ((1, ones), (2, twos))
     ]
-    merged = rest.union(other[0]).union(other[1]).withColumn("one", F.lit(1))
-    return counted(merged, ["rank", "seq", "pos"], ["one"]).select("seq", "pos", F.col("before_one").alias("rank"))
+    return rest.union(other[0]).union(other[1])

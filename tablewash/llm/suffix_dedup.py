@@ -27,16 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewash.llm.common import release, slices, stored, utf8
-from tablewash.llm.difference_cover import suffix_ranks
+from tablewash.llm.difference_cover import suffix_order
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 #: Bytes of an anchor.
 _ANCHOR = 64
-#: A phrase begins at 8 bytes whose hash has this many leading zero bits, unless they come again within 32 bytes.
-_PHRASE_BITS = 6
-_REPEATS = 32
-#: So many bytes decide whether a phrase begins.
-_LOOK = _REPEATS + 8
 #: Strings are looked at in blocks of so many starting places.
 _BLOCK = 1 << 20
 
@@ -106,19 +101,34 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.concatenate(hashes)[first]
 
 
-def phrase_starts(hashes: Prefixes) -> np.ndarray:
-    """Places where a phrase begins, of those with the bytes that decide it."""
-    raw = hashes.raw
-    count = max(0, hashes.size - _LOOK + 1)
-    at = np.flatnonzero(hashes.found[8][:count] >> np.uint64(64 - _PHRASE_BITS) == 0)
-    for gap in range(1, _REPEATS + 1):
-        at = at[raw[at] != raw[at + gap]]
-    return at
+def _spacing(length: int) -> int:
+    """Phrases are longer than this: nine of them hold a string of `length` and half as much."""
+    return length // 6
+
+
+def _look(length: int) -> int:
+    """So many bytes, from its first on, decide whether a phrase begins."""
+    return 2 * _spacing(length) + 8
+
+
+def _depth(length: int) -> int:
+    """How far suffixes are sorted: what nine phrases hold at least."""
+    return 9 * (_spacing(length) + 1)
+
+
+def phrase_starts(hashes: Prefixes, length: int) -> np.ndarray:
+    """Places where a phrase begins: so far before an 8-byte hash that is smaller than all around it."""
+    h, side = hashes.found[8], _spacing(length)
+    if h.size <= 2 * side:
+        return np.empty(0, np.int64)
+    around = _extreme(h, side, np.minimum)
+    middle = h[side : h.size - side]
+    return np.flatnonzero((middle < around[: middle.size]) & (middle < around[side + 1 : side + 1 + middle.size]))
 
 
 #: How far before a phrase a remaining string begins: from, and below.
 def _ranges(length: int) -> list[tuple[int, int]]:
-    far = length - _LOOK + 1
+    far = length - _look(length) + 1
     return [(a, min(b, far)) for a, b in ((1, 64), (64, 128), (128, 256), (256, far)) if a < min(b, far)]
 
 
@@ -193,7 +203,7 @@ def _phrase_rows(length: int):
             phrases: list[bytes] = []
             for sid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes, other = Prefixes(text), Prefixes(text, 1)
-                at = phrase_starts(hashes)
+                at = phrase_starts(hashes, length)
                 if not at.size:
                     continue
                 follow = np.append(at[1:], len(text))
@@ -205,7 +215,7 @@ def _phrase_rows(length: int):
                 last = np.minimum(follow - 1, owned - 1)
                 deep = _mixed(whole, full[last], 1) ^ gap.astype(np.uint64)
                 # The bytes a phrase is named by go on to what begins the next one, so that none begins another.
-                tail = np.append(np.minimum(at[1:] + _LOOK, len(text)), len(text))
+                tail = np.append(at[1:] + _look(length), len(text))
                 names = [text[a:b] for a, b in zip(at.tolist(), tail.tolist(), strict=True)]
                 phrases.extend(names)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in names), np.int64).reshape(-1, 2)
@@ -218,7 +228,7 @@ def _phrase_rows(length: int):
                 for target, c in zip(out, [*columns, *(_signed(c) for c, _ in cores)], strict=True):
                     target.append(c)
                 short = follow[:] - 1 + length > len(text)
-                for target, c in zip(nulls, [at >= owned, short | (gap > length), *(c for _, c in cores)], strict=True):
+                for target, c in zip(nulls, [at >= owned, short | (gap + length - 1 > _depth(length)), *(c for _, c in cores)], strict=True):
                     target.append(c)
             join = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             gone = [np.concatenate(c) if c else np.empty(0, bool) for c in nulls]
@@ -261,8 +271,8 @@ def _bare(text: bytes, length: int) -> np.ndarray:
     """Starting places of strings in which no phrase begins."""
     owned = len(text) - length + 1
     edge = np.zeros(owned + 1, np.int64)
-    at = phrase_starts(Prefixes(text))
-    np.add.at(edge, np.maximum(at - (length - _LOOK), 0).clip(max=owned), 1)
+    at = phrase_starts(Prefixes(text), length)
+    np.add.at(edge, np.maximum(at - (length - _look(length)), 0).clip(max=owned), 1)
     np.add.at(edge, np.minimum(at + 1, owned), -1)
     return np.flatnonzero(np.cumsum(edge[:-1]) == 0)
 
@@ -360,8 +370,8 @@ def repeated_strings(segments: DataFrame, length: int) -> DataFrame:
     names = stored(kinds.orderBy("phrase").withColumn("sym", F.monotonically_increasing_id()).select("m1", "m2", "sym"), "phrase-names")
     phrases = everything.drop("phrase")
     named = phrases.join(names, (F.col("n1") == F.col("m1")) & (F.col("n2") == F.col("m2")))
-    ranks = suffix_ranks(
-        named.select(F.col("sid").alias("seq"), F.col("idx").alias("pos"), "sym", F.col("gap").alias("size")), 2 * length
+    ranks = suffix_order(
+        named.select(F.col("sid").alias("seq"), F.col("idx").alias("pos"), "sym", F.col("gap").alias("size")), _depth(length)
     )
     ranks = ranks.select(F.col("seq").alias("_seq"), F.col("pos").alias("_idx"), "rank")
     order = phrases.join(ranks, (F.col("sid") == F.col("_seq")) & (F.col("idx") == F.col("_idx")))

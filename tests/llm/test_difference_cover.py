@@ -1,6 +1,6 @@
 import random
 
-from tablewash.llm.difference_cover import suffix_ranks
+from tablewash.llm.difference_cover import suffix_order
 
 
 def test_against_sorted_suffixes(spark):
@@ -11,7 +11,7 @@ def test_against_sorted_suffixes(spark):
         seqs[51] = list(seqs[0])
         rows = [(s, p, x, 2) for s, own in seqs.items() for p, x in enumerate(own)]
         frame = spark.createDataFrame(rows, "seq long, pos long, sym long, size long").repartition(5)
-        out = suffix_ranks(frame, depth).collect()
+        out = suffix_order(frame, depth).collect()
         assert sorted((r["seq"], r["pos"]) for r in out) == sorted((s, p) for s, p, _, _ in rows)
         assert sorted(r["rank"] for r in out) == list(range(len(rows)))
         order = [seqs[r["seq"]][r["pos"] :] for r in sorted(out, key=lambda r: r["rank"])]
@@ -20,4 +20,4 @@ def test_against_sorted_suffixes(spark):
 
 
 def test_no_sequences(spark):
-    assert suffix_ranks(spark.createDataFrame([], "seq long, pos long, sym long, size long"), 100).collect() == []
+    assert suffix_order(spark.createDataFrame([], "seq long, pos long, sym long, size long"), 100).collect() == []
