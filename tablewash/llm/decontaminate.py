@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablewash.llm.common import slices, stored, utf8
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 
 
 class _WordHashes(dict):

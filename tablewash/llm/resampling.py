@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import hash_sample, map_texts, nth_smallest, stored, utf8
+from tablewash.llm.common import hash_sample, map_texts, nth_smallest, slices, stored, utf8
 
 _TOKENS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff]+")
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 
 
 class _Hashes(dict):
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, target: DataFrame, bits: int = 16, target_docs: int = 2
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.bincount(grams(text, bits), minlength=1 << bits) if len(text) > 200_000 else None
                 at = grams(text, bits) if own is None else None
@@ -179,8 +179,10 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, bits: int = 16, seed: int =
     if least is None:
         return docs
 
+    position = docs.columns.index("text")
+
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, position):
             ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text"))
             keep = [
                 sortable(models.log_weight((t or "").encode()) + gumbel(i, seed)) >= least

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tablewash.llm.common import map_texts, stored
+from tablewash.llm.common import map_texts, slices, stored
 from tablewash.llm.components import connected_components
 
 _SHINGLE = 4
@@ -185,7 +185,7 @@ def keep_one_of_each_group(docs: DataFrame, errors: int = 4) -> DataFrame:
     position = docs.columns.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, position):
             found = [fingerprint((t or "").encode()) for t in batch.column(position).to_pylist()]
             column = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, mark])

@@ -536,7 +536,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     at = columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             texts = []
             for text, copied, runs in zip(*(batch.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1)), strict=True):
                 raw = (text or "").encode()

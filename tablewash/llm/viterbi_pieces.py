@@ -25,7 +25,7 @@ from tablewash.llm.common import map_texts
 SPACE = "▁"
 #: Fixed value: how far below the worst piece a character without a piece scores.
 _UNKNOWN_PENALTY = 10.0
-_CACHED_UNITS = 300_000
+_CACHED_UNITS = 150_000
 _CACHED_LENGTH = 64
 #: The vocabulary goes to every executor: it may not be larger.
 MAX_MODEL_BYTES = 64 << 20
