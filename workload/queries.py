@@ -178,6 +178,18 @@ def d_all(spark: SparkSession, folder: str) -> DataFrame:
     return issues.select("id", "kind", "severity", "column", "count", F.col("suggested_fix.op").alias("op"))
 
 
+def _filtered(severity: str = "all", column: str | None = None) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        issues = iss.detect_issues(Frequencies(sales(spark, folder)), severity, column)
+        return issues.select("id", "kind", "severity", "column", "count", F.col("suggested_fix.op").alias("op"))
+
+    return query
+
+
+def d_by_severity(spark: SparkSession, folder: str) -> DataFrame:
+    return iss.count_by_severity(iss.detect_issues(Frequencies(sales(spark, folder))))
+
+
 ISSUES: dict[str, Query] = {
     "d_duplicate_rows": d_duplicate_rows,
     "d_missing": _from_counts("missing_values"),
@@ -189,6 +201,9 @@ ISSUES: dict[str, Query] = {
     "d_categories": d_categories,
     "d_category_mapping": d_category_mapping,
     "d_all": d_all,
+    "d_severity": _filtered(severity="high"),
+    "d_column": _filtered(column="amount"),
+    "d_by_severity": d_by_severity,
 }
 
 
@@ -262,6 +277,11 @@ def a_sort_limit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def a_first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups that nobody sorted come in the order of their first rows."""
+    return agg.aggregate(sales(spark, folder), ["order_date"], [{"fn": "count", "as": "n"}], limit=25)
+
+
 def a_group_total(spark: SparkSession, folder: str) -> DataFrame:
     return agg.group_total(sales(spark, folder), ["segment", "priority"])
 
@@ -300,6 +320,8 @@ AGGREGATES: dict[str, Query] = {
     "a_group_total": a_group_total,
     "a_chart_value_desc": _chart("value_desc", 12),
     "a_chart_category": _chart("category_asc", 40),
+    "a_chart_value_asc": _chart("value_asc", 300),
+    "a_first_seen": a_first_seen,
 }
 
 
