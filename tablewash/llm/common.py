@@ -47,7 +47,33 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tablewash-{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found.__dict__["stored_at"] = path
+    _written.append(path)
+    return found
+
+
+#: Paths of stored tables that nothing has discarded yet, in the order they were written.
+_written: list[str] = []
+
+
+def written() -> int:
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Delete the tables stored since `written()` gave `since`, but those kept, and let go of finished shuffles.
+
+    Only for tables whose readers are themselves stored: nothing may need them again.
+    """
+    keep = {f.__dict__["stored_at"] for f in kept}
+    gone = [p for p in _written[since:] if p not in keep]
+    _written[since:] = [p for p in _written[since:] if p in keep]
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    for path in gone if jvm is not None else ():
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    release(spark)
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tablewash.llm.common import stored
+from tablewash.llm.common import discard, stored, written
 
 
 def counted(frame: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
@@ -66,8 +66,12 @@ def suffix_order(text: DataFrame, depth: int) -> DataFrame:
     of another comes first. Suffixes alike to that depth, or to both their
     ends, have neighbouring ranks in some order.
     """
+    since = written()
     merged = _ranks(text, depth).withColumn("one", F.lit(1))
-    return counted(merged, ["rank", "seq", "pos"], ["one"]).select("seq", "pos", F.col("before_one").alias("rank"))
+    order = counted(merged, ["rank", "seq", "pos"], ["one"]).select("seq", "pos", F.col("before_one").alias("rank"))
+    order = stored(order, "order")
+    discard(text.sparkSession, since, order)
+    return order
 
 
 def _ranks(text: DataFrame, depth: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import release, slices, stored, utf8
+from tablewash.llm.common import discard, release, slices, stored, utf8, written
 from tablewash.llm.difference_cover import suffix_order
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -362,6 +362,7 @@ def _neighbours(order: DataFrame, flags: list[str], width: int = 65_536) -> Data
 def repeated_strings(segments: DataFrame, length: int) -> DataFrame:
     """sid, first, last: runs of starting places, in segments (sid, bytes), of strings that start elsewhere too."""
     spans = _ranges(length)
+    since = written()
     cores = [f"c{i}" for i in range(len(spans))]
     schema = _PHRASE_SCHEMA + ", ".join(f"{c} long" for c in cores) + ", phrase binary"
     everything = stored(segments.select("sid", "bytes").mapInArrow(_phrase_rows(length), schema), "phrases")
@@ -376,7 +377,7 @@ def repeated_strings(segments: DataFrame, length: int) -> DataFrame:
     ranks = ranks.select(F.col("seq").alias("_seq"), F.col("pos").alias("_idx"), "rank")
     order = phrases.join(ranks, (F.col("sid") == F.col("_seq")) & (F.col("idx") == F.col("_idx")))
     flagged = stored(_neighbours(order, ["whole", "deep", *cores]), "flagged")
-    release(segments.sparkSession)
+    discard(segments.sparkSession, since, flagged)
     runs = flagged.filter("same_deep or same_whole").select(
         "sid", F.col("pos").alias("first"), F.when(F.col("same_deep"), F.col("pos") + F.col("gap") - 1).otherwise(F.col("pos")).alias("last")
     )
@@ -404,6 +405,7 @@ def repeated_strings(segments: DataFrame, length: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("sid", "first", "last")).alias("one")
     )
     kinds = stored(kinds, "context-kinds")
+    release(segments.sparkSession)
     # A context met twice repeats as a whole; else its strings are compared one by one with those of the others.
     often = kinds.filter("n > 1").select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("f1").alias("_1"), F.col("f2").alias("_2"))
     twice = contexts.join(often, (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")) & (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")))
@@ -424,6 +426,7 @@ def repeated_strings(segments: DataFrame, length: int) -> DataFrame:
 
 def removal_runs(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t1, t2 (digests of the text), copied, runs (array of first, last) for rows that lose bytes."""
+    since = written()
     text = utf8(F.col(text_col))
     t1, t2 = F.xxhash64(text).alias("t1"), F.xxhash64(F.concat(F.lit(b"2"), text)).alias("t2")
     long = docs.filter(F.octet_length(text) >= length).select(F.col(id_col).alias("doc_id"), t1, t2, text.alias("bytes"))
@@ -443,18 +446,20 @@ def removal_runs(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     # Rows that repeat id and text gave the same segments more than once.
     kept = segments.groupBy(F.col("seq").alias("_seq"), F.col("start").alias("_start")).agg(F.min("sid").alias("_one"))
     segments = stored(segments.join(kept, F.col("sid") == F.col("_one")).select("seq", "start", "bytes", "sid"), "segments")
-    release(docs.sparkSession)
+    discard(docs.sparkSession, since, digests, texts, segments)
     runs = repeated_strings(segments, length).withColumnRenamed("sid", "_sid")
     origin = segments.select("seq", "start", "sid")
     runs = origin.join(runs, F.col("sid") == F.col("_sid")).groupBy(F.col("seq").alias("_seq")).agg(
         F.collect_list(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))).alias("runs")
     )
     runs = stored(runs, "runs")
-    release(docs.sparkSession)
+    discard(docs.sparkSession, since, digests, texts, runs)
     judged = texts.join(runs, F.col("seq") == F.col("_seq"), "left").filter("n > 1 or runs is not null")
     judged = judged.select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), (F.col("n") > 1).alias("copied"), F.when(F.col("n") == 1, F.col("runs")).alias("runs"))
     rows = digests.distinct().join(judged, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
-    return stored(rows.select("doc_id", "t1", "t2", "copied", "runs"), "removals")
+    removals = stored(rows.select("doc_id", "t1", "t2", "copied", "runs"), "removals")
+    discard(docs.sparkSession, since, removals)
+    return removals
 
 
 def kept_mask(size: int, copied: bool, runs: list[dict] | None, length: int) -> np.ndarray:
