@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablewash.functions import coerce_date, coerce_number, date_shape, is_blank, norm_key, strip
 from tablewash.operators import aggregate as agg
@@ -15,12 +16,12 @@ from tablewash.operators import issues as iss
 from tablewash.operators import profile as prof
 from tablewash.operators.diff import diff_examples, diff_frames, diff_summary
 from tablewash.operators.frequency import Frequencies
-from tablewash.operators.query import filter_rows, query_rows
-from tablewash.operators.table import RID, data_columns, with_order
+from tablewash.operators.query import filter_rows, in_order, query_rows
+from tablewash.operators.table import RID, col, data_columns, with_order
 from tablewash.operators.transforms import apply_op, plan_step
 from tablewash.plans.autofix import suggested_fixes
 from tablewash.plans.dataset import Dataset
-from tablewash.plans.lineage import ensure_checkpoint_dir
+from tablewash.plans.lineage import cut_lineage, ensure_checkpoint_dir
 from tablewash.plans.recipe import Recipe, replay
 from tablewash.sources.delimited import export_summary, read_delimited, sniff_delimiter, write_delimited
 from tablewash.sources.messy_sales import messy_sales
@@ -44,6 +45,20 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col(RID).alias("rid"), *(columns or data_columns(df)))
 
 
+def ranked(ordered: DataFrame, *columns: str) -> DataFrame:
+    """Every row of a sorted frame with its ``place``, from 1.
+
+    The place within its task plus the rows of the tasks before: no window holds rows.
+    """
+    kept = cut_lineage(ordered.select(F.monotonically_increasing_id().alias("_at"), *[col(c) for c in columns]))
+    task = F.shiftright("_at", 33)
+    sizes = kept.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per task.
+    before = sizes.select("_task", (F.sum("n").over(Window.orderBy("_task")) - F.col("n")).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return kept.join(F.broadcast(before), task == F.col("_task")).select(place.alias("place"), *columns)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -232,6 +247,12 @@ def q_starts_with(spark: SparkSession, folder: str) -> DataFrame:
     return filter_rows(pages, [_is("url", "starts_with", "HTTPS://")]).select(F.col(RID).alias("page_id"), "url")
 
 
+def _sorted(column: str, direction: str) -> Query:
+    return lambda spark, folder: ranked(
+        in_order(sales(spark, folder), {"column": column, "direction": direction}), "order_id", column
+    )
+
+
 def q_matched(spark: SparkSession, folder: str) -> DataFrame:
     return query_rows(sales(spark, folder), filters=[_is("segment", "contains", "auto")]).matched
 
@@ -253,6 +274,8 @@ QUERIES: dict[str, Query] = {
     "q_sort_text": _page(
         sort={"column": "priority", "direction": "desc"}, columns=["order_id", "priority"], limit=200, offset=100
     ),
+    "q_sort_num_all": _sorted("amount", "asc"),
+    "q_sort_text_all": _sorted("priority", "desc"),
     "q_project": lambda spark, folder: sales(spark, folder).select("priority", "order_id"),
     "q_page": _page(sort={"column": "quantity", "direction": "desc"}, columns=["order_id", "quantity"], offset=30),
     "q_matched": q_matched,
@@ -282,6 +305,11 @@ def a_first_seen(spark: SparkSession, folder: str) -> DataFrame:
     return agg.aggregate(sales(spark, folder), ["order_date"], [{"fn": "count", "as": "n"}], limit=25)
 
 
+def a_first_seen_all(spark: SparkSession, folder: str) -> DataFrame:
+    groups = agg.aggregate(sales(spark, folder), ["order_date"], [{"fn": "count", "as": "n"}])
+    return ranked(groups, "order_date", "n")
+
+
 def a_group_total(spark: SparkSession, folder: str) -> DataFrame:
     return agg.group_total(sales(spark, folder), ["segment", "priority"])
 
@@ -322,6 +350,7 @@ AGGREGATES: dict[str, Query] = {
     "a_chart_category": _chart("category_asc", 40),
     "a_chart_value_asc": _chart("value_asc", 300),
     "a_first_seen": a_first_seen,
+    "a_first_seen_all": a_first_seen_all,
 }
 
 
@@ -354,6 +383,12 @@ def t_sort_rows(spark: SparkSession, folder: str) -> DataFrame:
     return query_rows(ordered, columns=["order_id", "quantity"], limit=200).rows
 
 
+def t_sort_rows_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row, by the row order that sorting left."""
+    ordered = cut_lineage(apply_op(sales(spark, folder), "sort_rows", {"column": "quantity", "direction": "desc"}))
+    return ranked(in_order(ordered, None), "order_id", "quantity")
+
+
 TRANSFORMS: dict[str, Query] = {
     "t_trim": _op("trim_whitespace", "segment", "priority", column="segment"),
     "t_trim_all": _op("trim_whitespace"),
@@ -394,6 +429,7 @@ TRANSFORMS: dict[str, Query] = {
     "t_coerce_date": _op("coerce_type", "order_date", column="order_date", type="date"),
     "t_coerce_boolean": _op("coerce_type", "priority_flag", column="priority_flag", type="boolean"),
     "t_sort_rows": t_sort_rows,
+    "t_sort_rows_all": t_sort_rows_all,
 }
 
 
