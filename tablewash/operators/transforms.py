@@ -200,7 +200,8 @@ def _plain_text(value: Any) -> str | None:
 
 def map_values(df: DataFrame, params: dict) -> Step:
     """Replace exact texts. The mapping is a dict, a frame ``(variant,
-    canonical)`` with unique variants, or the name of the one detection finds."""
+    canonical)`` with unique variants, or the name of the one detection finds,
+    with the ``table`` it was stored in; without one it is found anew."""
     column, mapping = _required(params, "column", "mapping")
     require_columns(df, [column])
     text = cell_text(df, column)
@@ -219,6 +220,11 @@ def map_values(df: DataFrame, params: dict) -> Step:
         # A variant listed twice takes the smaller text, null first.
         lookup = mapping.groupBy("variant").agg(F.min(F.struct("canonical")).alias("c")).select("variant", "c.canonical")
         params = {**params, "mapping": "table"}
+    elif mapping == VARIANTS_MAPPING and params.get("table"):
+        # What detection stored, whatever has become of the column since.
+        held = df.sparkSession.read.parquet(params["table"])
+        lookup = held.where((F.col("column") == column) & (F.col("value") != F.col("canonical")))
+        lookup = lookup.select(F.col("value").alias("variant"), "canonical")
     elif mapping == VARIANTS_MAPPING:
         values = Frequencies(df, [column]).present
         lookup = category_mapping(values).select("variant", "canonical")
