@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,31 +59,53 @@ def round_display(n: Column) -> Column:
     return F.when(F.abs(n) >= 100, F.floor(n + F.lit(0.5)).cast("double")).otherwise(F.round(n, 2))
 
 
+def _limbs(num: Column) -> tuple[Column, Column, Column]:
+    """``num`` as 10**18 times the first, plus the second (both whole), plus the third; null beyond 10**26."""
+    limb = F.lit(Decimal(10**18))
+    fixed = num.try_cast(T.DecimalType(38, 12))
+    whole = F.when(fixed < 0, F.ceil(fixed)).otherwise(F.floor(fixed)).cast(T.DecimalType(27, 0))
+    low = (whole % limb).cast(T.DecimalType(19, 0))
+    high = ((whole - low) / limb).cast(T.DecimalType(9, 0))
+    return high, low, (fixed % F.lit(Decimal(1))).cast(T.DecimalType(13, 12))
+
+
+def joined(high: Column, low: Column, part: Column) -> Column:
+    """The double of three exact sums, through one decimal where it holds them."""
+    wide = T.DecimalType(38, 12)
+    near = F.when(high == 0, F.try_add(low.try_cast(wide), part.try_cast(wide))).cast("double")
+    far = high.cast("double") * F.lit(1e18) + low.cast("double") + part.cast("double")
+    return F.coalesce(near, far)
+
+
 def exact_sum(num: Column) -> Column:
     """Sum to 4 decimals that does not depend on the order of the rows.
 
-    Adds decimals; a group holding a value or total beyond their range falls
-    back to the double sum.
+    Adds decimals, whole and fractional parts apart where one total is too
+    long; a group holding a value beyond 10**26 falls back to the double sum.
     """
     fixed = num.try_cast(T.DecimalType(38, 12))
-    total = F.when(F.count(num) == F.count(fixed), F.try_sum(fixed))
-    return F.coalesce(F.round(total, 4).cast("double"), F.round(F.sum(num), 4))
+    held = F.count(num) == F.count(fixed)
+    total = F.when(held, F.try_sum(fixed))
+    apart = F.when(held, joined(*[F.try_sum(x) for x in _limbs(num)]))
+    return F.coalesce(F.round(total, 4).cast("double"), F.round(F.coalesce(apart, F.sum(num)), 4))
 
 
 def exact_mean(num: Column) -> Column:
     """Mean to 4 decimals over the numeric cells, null if there are none."""
     fixed = num.try_cast(T.DecimalType(38, 12))
-    total = F.when(F.count(num) == F.count(fixed), F.try_sum(fixed)).cast("double")
+    held = F.count(num) == F.count(fixed)
+    total = F.when(held, F.try_sum(fixed)).cast("double")
+    apart = F.when(held, joined(*[F.try_sum(x) for x in _limbs(num)]))
     n = F.count(num)
-    return F.when(n > 0, F.round(F.coalesce(total, F.sum(num)) / n, 4))
+    return F.when(n > 0, F.round(F.coalesce(total, apart, F.sum(num)) / n, 4))
 
 
-def weighted_sums(num: Column, cnt: Column) -> tuple[Column, Column, Column]:
-    """Sum of ``num`` taken ``cnt`` times: decimal, whether whole, and double.
+def weighted_sums(num: Column, cnt: Column) -> tuple[list[Column], Column, Column]:
+    """Sum of ``num`` taken ``cnt`` times: in three exact parts for ``joined``, whether whole, and double.
 
-    The decimal leaves out what its range cannot hold; then "whole" is false.
+    The parts leave out values beyond 10**26; then "whole" is false.
     """
-    fixed = num.try_cast(T.DecimalType(27, 12))
-    times = cnt.try_cast(T.DecimalType(10, 0))
-    part = fixed * times
-    return F.try_sum(part), F.count(part) == F.count(num), F.sum(num * cnt)
+    times = cnt.cast(T.DecimalType(19, 0))
+    limbs = _limbs(num)
+    parts = [F.try_sum(x * times) for x in limbs]
+    return parts, F.count(limbs[1]) == F.count(num), F.sum(num * cnt)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewash.functions.dates import SHAPES, from_ordinal
-from tablewash.functions.numbers import weighted_sums
+from tablewash.functions.numbers import joined, weighted_sums
 from tablewash.operators.frequency import Frequencies
 from tablewash.operators.quantile import coarse_histogram, quantiles_of
 
@@ -58,15 +58,15 @@ def number_profile(freq: Frequencies) -> DataFrame:
 
     The totals come from the histogram the quartiles need anyway.
     """
-    exact, whole, rough = weighted_sums(F.col("num"), F.col("cnt"))
+    parts, whole, rough = weighted_sums(F.col("num"), F.col("cnt"))
     placed, hist = coarse_histogram(
-        freq.numbers, exact.alias("exact"), whole.alias("whole"), rough.alias("rough")
+        freq.numbers, *[x.alias(f"part_{i}") for i, x in enumerate(parts)], whole.alias("whole"), rough.alias("rough")
     )
     totals = hist.groupBy("column").agg(
         F.min("lo").alias("min"),
         F.max("hi").alias("max"),
         F.sum("c").alias("n"),
-        F.when(F.bool_and("whole"), F.try_sum("exact")).cast("double").alias("fixed_total"),
+        F.when(F.bool_and("whole"), joined(*[F.try_sum(f"part_{i}") for i in range(len(parts))])).alias("fixed_total"),
         F.sum("rough").alias("rough_total"),
     )
     marks = quantiles_of(placed, hist, [0.25, 0.5, 0.75])
