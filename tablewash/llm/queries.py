@@ -6,8 +6,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewash.llm import decontaminate, doubling, line_crf, page_model, resampling, simhash_trie, suffix_dedup, viterbi_pieces
+from tablewash.llm.collocations import collocations
+from tablewash.llm.filter_audit import failure_masks, filter_audit, text_filters
+from tablewash.llm.packing import pack_documents
 from tablewash.llm.sharding import histogram_shards
 from tablewash.llm.url_filters import filter_urls
 
@@ -21,6 +25,8 @@ URL_RULES = [
 SHARDS = 40
 #: Where the tokenizer's file lies; TOKENIZER_FILE overrides it.
 PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
+#: The same for the packed ids; BYTE_TOKENIZER_FILE overrides it.
+BYTE_TOKENIZER = os.environ.get("BYTE_TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +76,23 @@ def op10_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_pieces.encode_texts(_table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = text_filters(docs["text"])
+    return filter_audit(failure_masks(docs, _table(spark, sf_dir, "labels"), filters), [*filters, "E"])
+
+
+def op12_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).drop("path", "place")
+
+
+def op13_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_trie": op1_simhash_trie,
     "op2_level_doubling": op2_level_doubling,
@@ -81,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_histogram_shards": op8_histogram_shards,
     "op9_minhash_containment": op9_minhash_containment,
     "op10_streaming_viterbi": op10_streaming_viterbi,
+    "op11_filter_diagrams": op11_filter_diagrams,
+    "op12_phrase_graph": op12_phrase_graph,
+    "op13_tiered_packing": op13_tiered_packing,
 }
 
 #: Words as all operators here cut them.
@@ -94,7 +120,75 @@ def _five_words(table: str, key: str) -> str:
       FROM (SELECT {key}, {words} AS w FROM {table}) x, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0"""
 
 
+#: All orders of five letters.
+_ORDERS = """SELECT a || b || c || d || e AS filter_order
+  FROM (SELECT unnest(string_split('A,B,C,D,E', ',')) AS a), (SELECT unnest(string_split('A,B,C,D,E', ',')) AS b),
+    (SELECT unnest(string_split('A,B,C,D,E', ',')) AS c), (SELECT unnest(string_split('A,B,C,D,E', ',')) AS d),
+    (SELECT unnest(string_split('A,B,C,D,E', ',')) AS e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5"""
+
 ORACLES: dict[str, str] = {
+    "op11_filter_diagrams": f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents
+), firsts AS (SELECT x, min(doc_id) AS least FROM t GROUP BY x
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), w AS (SELECT t.*, {_WORDS.format("x")} AS words FROM t
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN least < w.doc_id THEN 'E' ELSE '' END) AS fails
+  FROM w JOIN firsts USING (x) LEFT JOIN l ON l.doc_id = w.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails
+), steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS f, filter_order[1:step-1] AS before
+  FROM ({_ORDERS}) o, unnest(range(1, 6)) AS s(step)
+), r AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN translate(fails, before || f, '') = fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+""",
+    "op12_phrase_graph": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, array_to_string(w[i:i+k-1], ' ') AS g, k, count(*) AS f
+  FROM w, unnest(range(1, len(w) + 1)) AS t(i), unnest(range(1, 6)) AS s(k)
+  WHERE i + k - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, g, k, f FROM f WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM f AS q WHERE q.lang = f.lang AND q.f = f.f AND q.k > f.k AND contains(' ' || q.g || ' ', ' ' || f.g || ' '))
+), cuts AS (
+  SELECT lang, g, f AS a, j, array_to_string(string_split(g, ' ')[1:j], ' ') AS one, array_to_string(string_split(g, ' ')[j+1:], ' ') AS two
+  FROM c, unnest(range(1, k)) AS u(j)
+), scored AS (
+  SELECT cuts.lang, cuts.g AS phrase, a, x.f AS l, y.f AS r, n,
+    CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, j
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.g = one JOIN f AS y ON y.lang = cuts.lang AND y.g = two JOIN n ON n.lang = cuts.lang
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM worst QUALIFY rank <= 2000
+""",
     "op2_level_doubling": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
 ), s AS (
