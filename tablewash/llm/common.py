@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -76,6 +77,33 @@ def discard(spark: SparkSession, since: int, *kept: DataFrame) -> None:
     release(spark)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that differ from all columns of a table, whatever the case of their letters."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> Column:
+    """A column by its name alone, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(frame: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """`mapInArrow` over all columns, whatever their names: Spark takes a dot in a name for a field."""
+    names = frame.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return frame.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(renamed, schema)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

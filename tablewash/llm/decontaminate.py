@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import slices, stored, utf8
+from tablewash.llm.common import free_names, slices, stored, utf8
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CACHED_WORDS = 150_000
@@ -184,7 +184,8 @@ def contained_items(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.8, size: int = 5) -> DataFrame:
     """The documents that hold no item, with all their columns; rows are judged by their own text."""
-    found = contained_items(docs, items, share, size).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    of, digest = free_names(docs.columns, "of", "digest")
+    found = contained_items(docs, items, share, size).select(F.col("doc_id").alias(of), F.col("text_hash").alias(digest))
     bad = stored(found.distinct(), "contaminated")
     text = utf8(F.col("text"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(digest)), "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import hash_sample, map_texts, nth_smallest, slices, stored, utf8
+from tablewash.llm.common import hash_sample, map_rows, map_texts, nth_smallest, slices, stored, utf8
 
 _TOKENS = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff]+")
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -190,4 +190,4 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, bits: int = 16, seed: int =
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return map_rows(docs, passed, docs.schema)

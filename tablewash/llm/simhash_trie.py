@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tablewash.llm.common import map_texts, slices, stored
+from tablewash.llm.common import free_names, map_rows, map_texts, quoted, slices, stored
 from tablewash.llm.components import connected_components
 
 _SHINGLE = 4
@@ -179,9 +179,7 @@ def keep_one_of_each_group(docs: DataFrame, errors: int = 4) -> DataFrame:
     Rows without id come last in a group; of rows that repeat id and
     fingerprint one stays. Columns are returned as they came.
     """
-    mark = "fp"
-    while mark in docs.columns:
-        mark += "_"
+    mark, one, bits = free_names(docs.columns, "fp", "one", "bits")
     position = docs.columns.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +194,8 @@ def keep_one_of_each_group(docs: DataFrame, errors: int = 4) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("fp").alias("f"))
     members = prints.select("doc_id", "fp").distinct().join(found.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
     best = members.groupBy("component").agg(F.min(order).alias("b"))
-    keepers = best.select(F.col("b.i").cast(kind).alias("_i"), F.col("b.f").alias("_f"))
+    keepers = best.select(F.col("b.i").cast(kind).alias(one), F.col("b.f").alias(bits))
     schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
-    with_mark = docs.mapInArrow(marked, schema)
-    kept = with_mark.join(keepers, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col(mark) == F.col("_f")), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with_mark = map_rows(docs, marked, schema)
+    kept = with_mark.join(keepers, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(bits)), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*map(quoted, docs.columns))

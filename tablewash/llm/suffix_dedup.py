@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewash.llm.common import discard, release, slices, stored, utf8, written
+from tablewash.llm.common import discard, free_names, map_rows, quoted, release, slices, stored, utf8, written
 from tablewash.llm.difference_cover import suffix_order
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -474,15 +474,18 @@ def kept_mask(size: int, copied: bool, runs: list[dict] | None, length: int) ->
 
 
 def _joined(docs: DataFrame, length: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
+    """The columns, then whether the whole text is a copy and its runs."""
     gone = removal_runs(docs, length, id_col, text_col)
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("t1").alias("_gone_1"), F.col("t2").alias("_gone_2"), F.col("copied").alias("_copied"), F.col("runs").alias("_runs"))
-    text = utf8(F.col(text_col))
+    names = free_names(docs.columns, "gone_id", "gone_1", "gone_2", "gone_copied", "gone_runs")
+    gone = gone.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "t1", "t2", "copied", "runs"), names, strict=True)))
+    text, (own, one, two, *rest) = utf8(quoted(text_col)), names
     on = (
-        F.col(id_col).eqNullSafe(F.col("_gone_id"))
-        & (F.xxhash64(text) == F.col("_gone_1"))
-        & (F.xxhash64(F.concat(F.lit(b"2"), text)) == F.col("_gone_2"))
+        quoted(id_col).eqNullSafe(F.col(own))
+        & (F.xxhash64(text) == F.col(one))
+        & (F.xxhash64(F.concat(F.lit(b"2"), text)) == F.col(two))
     )
-    return docs.select(*columns).join(gone, on, "left").select(*columns, "_copied", "_runs")
+    kept = [quoted(c) for c in columns]
+    return docs.select(*kept).join(gone, on, "left").select(*kept, *rest)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -514,7 +517,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = joined.select(F.col(id_col), utf8(F.col(text_col)), "_copied", "_runs")
+    asked = joined.select(quoted(id_col), utf8(quoted(text_col)), *joined.columns[2:])
     return asked.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
@@ -551,7 +554,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    done = joined.mapInArrow(cut, docs.schema)
+    done = map_rows(joined, cut, docs.schema)
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*(F.col(f"`{c}`") for c in columns))
+    return done.select(*map(quoted, columns))
