@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewash.llm import decontaminate, near_copies, resampling, suffix_dedup, viterbi_pieces
+from tablewash.llm import decontaminate, resampling, simhash_trie, suffix_dedup, viterbi_pieces
 from tablewash.llm.common import stored
 
 PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with a five-word Jaccard similarity of 0.8 one stays."""
-    return near_copies.keep_one_of_each_group(docs)
+    """Of each group of documents whose four-word fingerprints link at 4 bits or fewer one stays."""
+    return simhash_trie.keep_one_of_each_group(docs, errors=4)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
