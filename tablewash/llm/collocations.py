@@ -26,8 +26,8 @@ from tablewash.llm.common import slices, stored, utf8
 
 #: Bits of the map of frequent words and pairs: 8 MB whatever the corpus.
 MAP_BITS = 1 << 26
-#: Entries that a task counts before it hands them on.
-_BLOCK = 1 << 21
+#: Bytes of text a task looks at in one go, entries it counts before it hands them on, and rows it hands on at once.
+_BYTES, _BLOCK, _ROWS = 1 << 19, 1 << 19, 1 << 16
 NO_LANGUAGE = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,7 +102,7 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     """Columns lang and text."""
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, _BYTES):
         if batch.num_rows:
             yield _Block(batch.column(1).to_pylist(), batch.column(0).to_pylist())
 
@@ -110,9 +110,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
 def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, c) of words and of pairs, counted within blocks."""
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        for at in range(0, h.size, _ROWS):
+            part = slice(at, at + _ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(c[part].astype(np.int64))], ["h", "c"])
 
     held, size = [], 0
     for block in _blocks(batches):
@@ -120,10 +122,10 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held += [h, _pairs(h)[block.near]]
         size += held[-1].size + h.size
         if size >= _BLOCK:
-            yield counted(held)
+            yield from counted(held)
             held, size = [], 0
     if held:
-        yield counted(held)
+        yield from counted(held)
 
 
 def frequent_map(texts: DataFrame, min_count: int, bits: int = MAP_BITS) -> np.ndarray:
