@@ -14,13 +14,18 @@ shuffled, and a task holds one block and one text.
 
 from __future__ import annotations
 
+import functools
+import json
+import os
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,20 +41,58 @@ _ID = 4
 _STEPS_AT_ONCE = 4
 #: A space between two characters that are no white space: both sides are tokenized on their own.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value: how byte-level tokenizers cut a text into words.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the fast encoder is not given: characters outside the oldest blocks, which libraries may class
+#: differently, and words so long that their merges take long.
+_ODD = re.compile(r"[^\x00-\x1b\x20-\x7e\xa1-\u017f\u2010-\u2027\u2030-\u205e\u20ac]")
+_GAP = re.compile(r"\s{500}")
+_LONG_WORD = 500
 #: Characters of a long text looked at in one go, and words remembered.
 _SPAN = 1 << 20
 _REMEMBERED = 200_000
 
 
+def _byte_of() -> dict[str, int]:
+    """Bytes by the characters that stand for them in byte-level vocabularies: printable ones for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def fast_encoding(path: str) -> tiktoken.Encoding | None:
+    """The tokenizer's own merges in an encoder that is some four times faster; None unless they mean the same.
+
+    They do if words are cut by the usual pattern and each merge makes the next id.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel":
+        return None
+    if cut.get("add_prefix_space") or not cut.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocab, byte = model["vocab"], _byte_of()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(vocab.get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+        return None
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 class Ids:
     """Ids of texts as little-endian 32-bit integers, as the tokenizer gives them for the whole text.
 
     For tokenizers whose pre-tokens begin with the space before a word, as byte-level
-    ones do. Words between seams are encoded once and remembered, in two generations.
+    ones do. Between seams, runs of plain words go to the fast encoder with the same
+    merges; other words go to the tokenizer itself once and are remembered, in two generations.
     """
 
     def __init__(self, path: str) -> None:
-        self._tokenizer = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are what is parallel
+        self._tokenizer, self._fast = Tokenizer.from_file(path), fast_encoding(path)
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -77,20 +120,41 @@ class Ids:
                 known.update(zip(part, self._encode([" " + w for w in part]), strict=True))
         return b"".join(map(known.__getitem__, words))
 
+    def _plain(self, text: str) -> bool:
+        """Whether the fast encoder may take it."""
+        if self._fast is None or _ODD.search(text) or any(x in text for x in self._special):
+            return False
+        return len(text) < _LONG_WORD or (max(map(len, text.split()), default=0) < _LONG_WORD and not _GAP.search(text))
+
+    def _fast_ids(self, text: str) -> bytes:
+        return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
     def of(self, text: str) -> Iterator[bytes]:
         """The text's ids in parts, so that a very long text is never held as a whole in words."""
         start = 0
         while start < len(text):
             seam = _SEAM.search(text, start + _SPAN) if start + _SPAN < len(text) else None
             end = seam.start() if seam else len(text)
-            first, *words = _SEAM.split(text[start:end])
-            if start:  # begins with the space of the seam before
-                yield self._words([first[1:], *words])
+            span = text[start:end]
+            if self._plain(span):
+                yield self._fast_ids(span)
             else:
-                yield self._encode([first])[0] + self._words(words)
+                words = _SEAM.split(span)
+                if start:  # begins with the space of the seam before
+                    words[0] = words[0][1:]
+                else:
+                    yield self._encode([words.pop(0)])[0]
+                for plain, run in groupby(words, self._plain):
+                    yield self._fast_ids(" " + " ".join(run)) if plain else self._words(list(run))
             start = end
 
 
+@functools.cache
+def shared_ids(path: str) -> Ids:
+    """The encoder that the tasks of one worker share, with what it remembers."""
+    return Ids(path)
+
+
 @dataclass
 class _Document:
     key: object
@@ -280,7 +344,7 @@ def pack_documents(
     )
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer)
+        ids = shared_ids(tokenizer)
         packer = Packer(tiers, block_tokens, step_tokens, TaskContext.get().partitionId() << 33)
         ending = end_id.to_bytes(_ID, "little")
         kinds: list[pa.DataType] = []

@@ -42,6 +42,23 @@ def test_ids_are_those_of_the_whole_text(monkeypatch, span):
         assert _read(ids.of(text)) == _whole(text), repr(text)
 
 
+def test_the_fast_encoder_means_the_same():
+    fast = packing.fast_encoding(PATH)
+    for code in [*range(0x180), *range(0x2010, 0x205F), 0x20AC]:
+        for text in (f"a{chr(code)}b", f" {chr(code)}{chr(code)} x", f"x {chr(code)}", f"{chr(code)} \n{chr(code)}'s I'll"):
+            if not packing._ODD.search(text):
+                assert fast.encode_ordinary(text) == _whole(text), repr(text)
+    assert packing.fast_encoding("/opt/tokenizers/word_bpe_49k.json") is None
+    long = "ab" * 3000 + " " + "!" * 2000 + " " * 1500 + "x"
+    assert _read(Ids(PATH).of(long)) == _whole(long)
+
+
+def test_ids_of_real_texts(spark):
+    ids = Ids(PATH)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert _read(ids.of(r[0] or "")) == _whole(r[0] or "")
+
+
 def _check(rows, docs):
     """Every id once, sequences exactly full, steps of one size."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
