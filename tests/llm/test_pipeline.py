@@ -36,12 +36,12 @@ def test_stages_on_the_smallest_tables(spark):
             assert set(after) == {ids[g] for g in groups}
         elif name == "repeated_strings":
             raw = {i: t.encode() for i, t in before.items()}
-            count = {}
+            count, n = {}, corpus_pipeline.PASSAGE_BYTES
             for t in raw.values():
-                for k in range(len(t) - 399):
-                    count[t[k : k + 400]] = count.get(t[k : k + 400], 0) + 1
+                for k in range(len(t) - n + 1):
+                    count[t[k : k + n]] = count.get(t[k : k + n], 0) + 1
             for i, t in raw.items():
-                whole = len(t) < 400 or max(count[t[k : k + 400]] for k in range(len(t) - 399)) == 1
+                whole = len(t) < n or max(count[t[k : k + n]] for k in range(len(t) - n + 1)) == 1
                 assert (after[i] == before[i]) == whole
         elif name == "decontamination":
             for i, t in before.items():
