@@ -11,6 +11,9 @@ from tablewash.llm.common import stored
 
 PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: Passages of more than 50 words are to be found: 51 words of three letters and a space are longer.
+PASSAGE_BYTES = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
@@ -23,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere too are cut out of the texts."""
-    return suffix_dedup.drop_repeated_bytes(docs)
+    """Strings of PASSAGE_BYTES that occur elsewhere too are cut out of the texts."""
+    return suffix_dedup.drop_repeated_bytes(docs, PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
