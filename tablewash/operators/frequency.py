@@ -30,18 +30,53 @@ def settled(grouped: DataFrame, keys: list[str], always: Column) -> DataFrame:
     return grouped.where(always).select(*tied)
 
 
+_VALUES = ("column", "value", "cnt", "first_rid")
+
+
+def value_facts(vf: DataFrame) -> DataFrame:
+    """What the cell functions say about every distinct value, once."""
+    value = F.col("value")
+    # Nothing parses a blank, so the parsers need no "if present" around them.
+    return vf.select(
+        *_VALUES,
+        (~is_blank(value)).alias("present"),
+        (value != strip(value)).alias("padded"),
+        date_ordinal(coerce_date(value)).alias("day"),
+        date_shape(strip(value)).alias("shape"),
+        coerce_number(value).alias("num"),
+        formatted_number(strip(value)).alias("laid_out"),
+        boolean_like(value).alias("truth"),
+        value.rlike(f"[{CURRENCY_SIGNS},%()]").alias("marked"),
+    )
+
+
 class Frequencies:
     """Lazy frames derived from one table version; nothing runs until asked."""
 
-    def __init__(self, df: DataFrame, columns: list[str] | None = None, kinds: dict[str, str] | None = None):
+    def __init__(
+        self,
+        df: DataFrame,
+        columns: list[str] | None = None,
+        kinds: dict[str, str] | None = None,
+        facts: DataFrame | None = None,
+    ):
         """``kinds`` are inferred types the caller already holds for this table.
 
         With them, typed operators read just the columns of their type.
+        ``facts`` are the values of these columns as a summary store holds them;
+        then the table itself is not read.
         """
         self.columns = list(columns) if columns else data_columns(df)
         self.kinds = kinds
         require_columns(df, self.columns)
         self.df = df
+        self._stats: DataFrame | None = None
+        self.kept = facts is not None
+        # Where a store keeps the values of each column.
+        self.tables: dict[str, str] = {}
+        if facts is not None:
+            self.facts, self.vf = facts, facts.select(*_VALUES)
+            return
         # Not unpivot: its output repeats the attribute of the row id, which
         # keeps Spark from seeing that copies of this plan are the same.
         pairs = [x for c in self.columns for x in (F.lit(c), cell_text(df, c))]
@@ -50,25 +85,30 @@ class Frequencies:
             F.count(F.lit(1)).alias("cnt"), F.min(RID).alias("first_rid")
         )
         self.vf = settled(grouped, ["column", "value"], (F.col("cnt") > 0) & F.col("first_rid").isNotNull())
-        self._stats: DataFrame | None = None
+        self.facts = value_facts(self.vf)
 
     @property
     def present(self) -> DataFrame:
-        return self.vf.where(~is_blank(F.col("value")))
+        return self.facts.where("present").select(*_VALUES)
 
     def of_type(self, *wanted: str) -> DataFrame:
         """Non-blank values of the columns of some inferred types."""
+        return self._typed(*wanted).select(*_VALUES)
+
+    def _typed(self, *wanted: str) -> DataFrame:
         if self.kinds is not None:
             chosen = [c for c in self.columns if self.kinds[c] in wanted]
             if not chosen:
-                return self.present.limit(0)
-            return Frequencies(self.df, chosen).present
+                return self.facts.where("present").limit(0)
+            if self.kept:
+                return self.facts.where(F.col("present") & F.col("column").isin(*chosen))
+            return Frequencies(self.df, chosen).facts.where("present")
         # The counts settle all but "boolean?", which is boolean or string.
         by_counts = "boolean?" in wanted or not {"string", "boolean"} & set(wanted)
         settled, name = (self._counted, "leading") if by_counts else (self.stats, "inferred_type")
         chosen = settled.where(F.col(name).isin(*wanted)).select("column")
         # One row per column of the schema, hence the broadcast.
-        return self.present.join(F.broadcast(chosen), "column")
+        return self.facts.where("present").join(F.broadcast(chosen), "column")
 
     @property
     def stats(self) -> DataFrame:
@@ -85,20 +125,7 @@ class Frequencies:
         return self._counts()
 
     def _counts(self) -> DataFrame:
-        value, cnt = F.col("value"), F.col("cnt")
-        # Nothing parses a blank, so the parsers need no "if present" around them.
-        facts = self.vf.select(
-            "column",
-            "value",
-            "cnt",
-            "first_rid",
-            (~is_blank(value)).alias("present"),
-            strip(value).alias("trimmed"),
-            date_ordinal(coerce_date(value)).alias("day"),
-            date_shape(strip(value)).alias("shape"),
-            coerce_number(value).isNotNull().alias("is_number"),
-            formatted_number(strip(value)).alias("laid_out"),
-        )
+        cnt, facts = F.col("cnt"), self.facts
 
         def rows(condition):
             return F.coalesce(F.sum(F.when(condition, cnt)), F.lit(0))
@@ -114,11 +141,11 @@ class Frequencies:
             rows(~present).alias("missing_count"),
             F.sum(F.when(present, 1).otherwise(0)).alias("distinct_count"),
             rows(F.col("day").isNotNull()).alias("n_date"),
-            rows(F.col("is_number") & F.col("laid_out")).alias("n_number"),
-            rows(F.col("is_number")).alias("n_parsed"),
-            rows(present & boolean_like(value)).alias("n_boolean"),
-            rows(present & (value != F.col("trimmed"))).alias("n_padded"),
-            rows(present & value.rlike(f"[{CURRENCY_SIGNS},%()]")).alias("n_formatted"),
+            rows(F.col("num").isNotNull() & F.col("laid_out")).alias("n_number"),
+            rows(F.col("num").isNotNull()).alias("n_parsed"),
+            rows(present & F.col("truth")).alias("n_boolean"),
+            rows(present & F.col("padded")).alias("n_padded"),
+            rows(present & F.col("marked")).alias("n_formatted"),
             F.min("day").alias("first_day"),
             F.max("day").alias("last_day"),
             *shapes,
@@ -165,6 +192,6 @@ class Frequencies:
     @cached_property
     def numbers(self) -> DataFrame:
         """``(column, num, cnt)``: distinct numbers of the number columns."""
-        parsed = self.of_type("number").select("column", coerce_number(F.col("value")).alias("num"), "cnt")
+        parsed = self._typed("number").select("column", "num", "cnt")
         grouped = parsed.groupBy("column", "num").agg(F.sum("cnt").alias("cnt"))
         return settled(grouped, ["column", "num"], F.col("cnt") > 0).where("num is not null")

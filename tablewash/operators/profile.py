@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewash.functions.dates import SHAPES, from_ordinal
-from tablewash.functions.numbers import joined, weighted_sums
 from tablewash.operators.frequency import Frequencies
 from tablewash.operators.quantile import coarse_histogram, quantiles_of
+from tablewash.operators.sums import exact_totals
 
 TOP_VALUES = 10
 
@@ -54,21 +54,10 @@ def top_values(freq: Frequencies) -> DataFrame:
 
 
 def number_profile(freq: Frequencies) -> DataFrame:
-    """Extremes, mean, quartiles and sum of the number columns.
-
-    The totals come from the histogram the quartiles need anyway.
-    """
-    parts, whole, rough = weighted_sums(F.col("num"), F.col("cnt"))
-    placed, hist = coarse_histogram(
-        freq.numbers, *[x.alias(f"part_{i}") for i, x in enumerate(parts)], whole.alias("whole"), rough.alias("rough")
-    )
-    totals = hist.groupBy("column").agg(
-        F.min("lo").alias("min"),
-        F.max("hi").alias("max"),
-        F.sum("c").alias("n"),
-        F.when(F.bool_and("whole"), joined(*[F.try_sum(f"part_{i}") for i in range(len(parts))])).alias("fixed_total"),
-        F.sum("rough").alias("rough_total"),
-    )
+    """Extremes, mean, quartiles and sum of the number columns, all exact."""
+    placed, hist = coarse_histogram(freq.numbers)
+    extremes = hist.groupBy("column").agg(F.min("lo").alias("min"), F.max("hi").alias("max"))
+    totals = exact_totals(freq.numbers, ["column"], F.col("num"), F.col("cnt"))
     marks = quantiles_of(placed, hist, [0.25, 0.5, 0.75])
     quantiles = marks.groupBy("column").agg(
         *[
@@ -77,10 +66,11 @@ def number_profile(freq: Frequencies) -> DataFrame:
         ]
     )
     present = (F.col("total_rows") - F.col("missing_count")).alias("present")
-    total = F.coalesce("fixed_total", "rough_total")
+    total = F.col("total")
     return (
         freq.stats.where("inferred_type = 'number'")
         .select("pos", "column", present)
+        .join(F.broadcast(extremes), "column")
         .join(F.broadcast(totals), "column")
         .join(F.broadcast(quantiles), "column")
         .select(

@@ -1,10 +1,11 @@
-"""Exact quantiles by rank, found by narrowing instead of sorting.
+"""Exact quantiles by radix selection on the bits of doubles.
 
-The wanted value is the one at position ``floor(p * (n - 1))``. Two histograms
-locate it: one on a logarithmic scale, then one between the smallest and
-largest value of the bucket that holds the rank. Both bucket numbers never
-fall as the value grows, so each step is exact; only the values of one final
-bucket are ranked. No step moves more than its histogram.
+The wanted value is the one at position ``floor(p * (n - 1))``. The bits of a
+double, sign, exponent, mantissa, order like the numbers themselves once a
+negative one counts down. A histogram over the highest share of the bits
+tells which bucket holds a rank; the next share is looked at within that bucket
+only, for all columns and probabilities at once. After the last share a bucket
+is one number, so nothing is ranked, wherever the numbers crowd.
 """
 
 from __future__ import annotations
@@ -13,8 +14,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_LOG_STEPS = 256  # buckets per factor e
-_FINE_STEPS = 65536  # buckets between the extremes of one log bucket
+# Bits below each share, from the highest: shares of 20, 22 and 22 bits.
+_BELOW = (44, 22, 0)
+_SMALLEST_NORMAL = -1022
+
+
+def with_order_bits(numbers: DataFrame) -> DataFrame:
+    """The rows with ``bits``, a BIGINT that orders and tells apart the finite doubles ``num``.
+
+    Up to the sign these are the bits that a double is stored in.
+    """
+    size = F.abs(F.col("num"))
+    kept = numbers.columns
+    # The logarithm may be off by one at powers of two.
+    guess = numbers.select(*kept, F.floor(F.log2(F.when(size > 0, size))).cast("int").alias("_e"))
+    share = size / F.pow(F.lit(2.0), F.col("_e"))
+    exponent = F.col("_e") + F.when(share >= 2, 1).when(share < 1, -1).otherwise(0)
+    known = guess.select(*kept, exponent.alias("_e"))
+    mantissa = ((size / F.pow(F.lit(2.0), F.col("_e")) - 1) * F.lit(2.0**52)).cast("bigint")
+    normal = (F.col("_e") - _SMALLEST_NORMAL + 1).cast("bigint") * F.lit(1 << 52) + mantissa
+    small = (size / F.lit(5e-324)).cast("bigint")
+    bits = F.coalesce(F.when(F.col("_e") >= _SMALLEST_NORMAL, normal).otherwise(F.when(size < 1, small)), F.lit(0))
+    signed = known.select(*kept, bits.alias("bits"))
+    return signed.select(*kept, F.when(F.col("num") < 0, -F.col("bits")).otherwise(F.col("bits")).alias("bits"))
 
 
 def _holding_rank(hist: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -31,9 +53,8 @@ def _holding_rank(hist: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def coarse_histogram(numbers: DataFrame, *extra: Column) -> tuple[DataFrame, DataFrame]:
-    """``numbers`` with bucket ``b``, and its histogram with any ``extra`` sums."""
-    magnitude = F.floor(F.log1p(F.abs("num")) * _LOG_STEPS)
-    placed = numbers.withColumn("b", F.when(F.col("num") < 0, -magnitude).otherwise(magnitude))
+    """``numbers`` with their bits and highest share ``b``, and its histogram with any ``extra`` sums."""
+    placed = with_order_bits(numbers).withColumn("b", F.shiftright("bits", _BELOW[0]))
     hist = placed.groupBy("column", "b").agg(
         F.sum("cnt").alias("c"), F.min("num").alias("lo"), F.max("num").alias("hi"), *extra
     )
@@ -49,29 +70,22 @@ def exact_quantiles(numbers: DataFrame, probs: list[float]) -> DataFrame:
 
 
 def quantiles_of(placed: DataFrame, hist: DataFrame, probs: list[float]) -> DataFrame:
-    # At most 2 * 709 * _LOG_STEPS buckets per column, whatever the table size.
+    # At most 2**20 buckets per column, whatever the table size.
     n = F.sum("c").over(Window.partitionBy("column"))
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     ranked = (
-        hist.select("column", "b", "c", "lo", "hi", n.alias("n"))
+        hist.select("column", "b", "c", n.alias("n"))
         .select("*", wanted.alias("p"))
         .withColumn("rank", F.floor(F.col("p") * (F.col("n") - 1)))
     )
     # One row per column and probability from here on the broadcast side.
     target = _holding_rank(ranked, ["column", "p"], "b")
-
-    span = F.col("hi") - F.col("lo")
-    fine = F.when(span > 0, F.floor((F.col("num") - F.col("lo")) / span * _FINE_STEPS)).otherwise(F.lit(0))
-    inside = placed.join(F.broadcast(target), ["column", "b"]).select(
-        "column", "p", "n", "rank", "num", "cnt", fine.alias("f")
-    )
-    fine_hist = inside.groupBy("column", "p", "n", "rank", "f").agg(F.sum("cnt").alias("c"))
-    fine_target = _holding_rank(fine_hist, ["column", "p"], "f")
-
-    last = (
-        inside.drop("rank", "n")
-        .join(F.broadcast(fine_target), ["column", "p", "f"])
-        .groupBy("column", "p", "n", "rank", "num")
-        .agg(F.sum("cnt").alias("c"))
-    )
-    return _holding_rank(last, ["column", "p"], "num").select("column", "p", F.col("num").alias("value"), "n")
+    inside = placed.select("column", "num", "cnt", "bits", "b")
+    for above, below in zip(_BELOW, _BELOW[1:]):
+        chosen = target.select("column", "p", "n", "rank", "b")
+        inside = inside.join(F.broadcast(chosen), ["column", "b", *(["p"] if above != _BELOW[0] else [])])
+        inside = inside.select("column", "p", "n", "rank", "num", "cnt", "bits", F.shiftright("bits", below).alias("b"))
+        shares = inside.groupBy("column", "p", "n", "rank", "b").agg(F.sum("cnt").alias("c"), F.min("num").alias("num"))
+        target = _holding_rank(shares, ["column", "p"], "b")
+        inside = inside.drop("n", "rank")
+    return target.select("column", "p", F.col("num").alias("value"), "n")

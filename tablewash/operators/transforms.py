@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from tablewash.functions.booleans import coerce_boolean
 from tablewash.functions.compare import holds, literal_text
 from tablewash.functions.dates import coerce_date
-from tablewash.functions.numbers import coerce_number, exact_mean
+from tablewash.functions.numbers import coerce_number
 from tablewash.functions.text import is_blank, num_text, strip
 from tablewash.operators.fill import with_value_above
 from tablewash.operators.frequency import Frequencies, settled
-from tablewash.operators.issues import VARIANTS_MAPPING, category_mapping, row_keys
+from tablewash.operators.issues import VARIANTS_MAPPING, category_mapping, row_keys, stored_mapping
 from tablewash.operators.quantile import exact_quantiles
 from tablewash.operators.query import condition, in_order
+from tablewash.operators.sums import exact_totals
 from tablewash.operators.table import RID, cell_number, cell_text, col, data_columns, fresh, is_text, require_columns
 
 # A mapping handed over as parameters is broadcast up to this many characters.
@@ -156,6 +157,11 @@ def median_of(numbers: DataFrame) -> DataFrame:
     return exact_quantiles(one_column, [0.5]).select("value")
 
 
+def mean_of(numbers: DataFrame) -> DataFrame:
+    """One row at most: the mean to 4 decimals of the numbers of one column, from their exact sum."""
+    return exact_totals(numbers, [], F.col("num")).select(F.round(F.col("total") / F.col("n"), 4).alias("value"))
+
+
 _STRATEGIES = ("constant", "mean", "median", "mode", "forward")
 
 
@@ -175,7 +181,7 @@ def fill_missing(df: DataFrame, params: dict) -> Step:
                 as_is = text
     elif strategy in ("mean", "median"):
         numbers = df.select(cell_number(df, column).alias("num"))
-        one = numbers.agg(exact_mean(F.col("num")).alias("value")) if strategy == "mean" else median_of(numbers)
+        one = mean_of(numbers) if strategy == "mean" else median_of(numbers)
         fill = one.select("value" if numeric else num_text(F.col("value"))).scalar()
         as_is = col(column).cast("double") if numeric else as_is
     elif strategy == "mode":
@@ -222,9 +228,7 @@ def map_values(df: DataFrame, params: dict) -> Step:
         params = {**params, "mapping": "table"}
     elif mapping == VARIANTS_MAPPING and params.get("table"):
         # What detection stored, whatever has become of the column since.
-        held = df.sparkSession.read.parquet(params["table"])
-        lookup = held.where((F.col("column") == column) & (F.col("value") != F.col("canonical")))
-        lookup = lookup.select(F.col("value").alias("variant"), "canonical")
+        lookup = stored_mapping(df.sparkSession.read.parquet(params["table"]), column)
     elif mapping == VARIANTS_MAPPING:
         values = Frequencies(df, [column]).present
         lookup = category_mapping(values).select("variant", "canonical")

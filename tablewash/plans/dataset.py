@@ -16,6 +16,7 @@ from tablewash.operators.query import Page, query_rows
 from tablewash.operators.table import data_columns, require_columns, with_order
 from tablewash.plans.autofix import suggested_fixes
 from tablewash.plans.recipe import Proposal, Recipe
+from tablewash.plans.summary import SummaryStore
 from tablewash.sources.delimited import export_summary, read_delimited, write_delimited
 
 
@@ -27,6 +28,8 @@ class Dataset:
             raise ValueError("No columns found. Load a CSV or TSV with a header row.")
         self.name = name
         self.recipe = Recipe(source)
+        # The summary of the source and of the table after each step.
+        self._stores = [SummaryStore(source)]
 
     @classmethod
     def load(cls, df: DataFrame, name: str = "table", order_by: str | None = None) -> Dataset:
@@ -42,8 +45,16 @@ class Dataset:
 
     # ---- reads
 
+    @property
+    def summary(self) -> SummaryStore:
+        """The stored values of the table as it is now; nothing is scanned before something asks for a column."""
+        if self._stores[-1].df is not self.table:
+            self._stores.append(SummaryStore(self.table))
+        return self._stores[-1]
+
     def frequencies(self, columns: list[str] | None = None) -> Frequencies:
-        return Frequencies(self.table, columns)
+        """Values and their facts, scanned once per table version and column."""
+        return self.summary.frequencies(columns)
 
     def overview(self) -> DataFrame:
         columns = prof.column_overview(self.frequencies())
@@ -87,21 +98,51 @@ class Dataset:
         return self.recipe.propose(op, params, rationale)
 
     def approve(self, proposal_id: str) -> Proposal:
-        return self.recipe.approve(proposal_id)
+        before = self.summary
+        p = self.recipe.approve(proposal_id)
+        if p.status == "approved":
+            self._stores.append(before.after(p.step, self.table))
+        return p
 
     def reject(self, proposal_id: str, note: str | None = None) -> Proposal:
         return self.recipe.reject(proposal_id, note)
 
     def undo(self):
-        return self.recipe.undo()
+        step = self.recipe.undo()
+        self._return_to(self.table)
+        return step
 
     def reset(self) -> None:
         self.recipe.reset()
+        self._return_to(self.table)
+
+    def _return_to(self, table: DataFrame) -> None:
+        """Go back to the store of an earlier version; what no version uses any more is deleted."""
+        known = next((s for s in self._stores if s.df is table), None) or SummaryStore(table)
+        left = self._stores[: self._stores.index(known)] + [known] if known in self._stores else [known]
+        used = set().union(*(s.folders() for s in left))
+        for store in self._stores:
+            if store not in left:
+                store.remove(used)
+        self._stores = left
+
+    def close(self) -> None:
+        """Delete the stored summaries; fixes that name a stored mapping need them until then."""
+        for store in self._stores:
+            store.remove()
+        self._stores = [SummaryStore(self.table)]
 
     def apply_fixes(self, kinds: list[str] | None = None) -> list[Proposal]:
         """Apply the suggested fixes of the issues present now."""
         fixes = suggested_fixes(self.issues(), kinds)
-        return [self.recipe.apply(f["op"], f["params"], "suggested fix") for f in fixes]
+        return [self._apply(f["op"], f["params"], "suggested fix") for f in fixes]
+
+    def _apply(self, op: str, params: dict, rationale: str) -> Proposal:
+        """Propose and approve in one go; what fails raises."""
+        p = self.approve(self.propose(op, params, rationale).id)
+        if p.status == "failed":
+            raise ValueError(p.error)
+        return p
 
     # ---- sink
 

@@ -137,6 +137,11 @@ FILES: dict[str, Query] = {f.__name__: f for f in (s_sniff, s_read_delimited, s_
 # ---- inference and profiles
 
 
+def _kept(f: Callable[[Frequencies], DataFrame]) -> Query:
+    """From the summary store of the table."""
+    return lambda spark, folder: f(Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").frequencies()).drop("pos")
+
+
 def _profile(f: Callable[[Frequencies], DataFrame]) -> Query:
     return lambda spark, folder: f(Frequencies(sales(spark, folder))).drop("pos")
 
@@ -151,7 +156,7 @@ PROFILES: dict[str, Query] = {
     "i_overview": i_overview,
     "p_common": _profile(prof.common_profile),
     "p_samples": _profile(prof.sample_values),
-    "p_number": _profile(prof.number_profile),
+    "p_number": _kept(prof.number_profile),
     "p_date": _profile(prof.date_profile),
     "p_date_formats": _profile(prof.date_formats),
     "p_top_values": _profile(prof.top_values),
@@ -189,20 +194,20 @@ def d_category_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d_all(spark: SparkSession, folder: str) -> DataFrame:
-    issues = iss.detect_issues(Frequencies(sales(spark, folder)))
+    issues = Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").issues()
     return issues.select("id", "kind", "severity", "column", "count", F.col("suggested_fix.op").alias("op"))
 
 
 def _filtered(severity: str = "all", column: str | None = None) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        issues = iss.detect_issues(Frequencies(sales(spark, folder)), severity, column)
+        issues = Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").issues(severity, column)
         return issues.select("id", "kind", "severity", "column", "count", F.col("suggested_fix.op").alias("op"))
 
     return query
 
 
 def d_by_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return iss.count_by_severity(iss.detect_issues(Frequencies(sales(spark, folder))))
+    return iss.count_by_severity(Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").issues())
 
 
 ISSUES: dict[str, Query] = {
