@@ -146,6 +146,30 @@ def _shard_of(keys: list[tuple[int, ...]], first: int = 0) -> Column:
     return F.when(reached, _shard_of(keys[middle + 1 :], first + middle + 1)).otherwise(_shard_of(keys[:middle], first))
 
 
+def _with_slots(placed: DataFrame, bits: int) -> DataFrame:
+    """The rows with ``slot``: their place within the shard in the order of the key.
+
+    The highest `bits` bits of both hashes only deal out the work: a range of texts,
+    and for one text a range of ids, is numbered by itself, from where the ranges before end.
+    """
+    text = F.shiftright("k_text", 64 - bits) if bits else F.lit(0).cast("long")
+    ids = F.shiftright("k_id", 64 - bits) if bits else F.lit(0).cast("long")
+    dealt = placed.select("*", text.alias("t"), ids.alias("i"))
+    group = ["shard", "t", "k_text", "i"]
+    counts = dealt.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    before = (Window.unboundedPreceding, -1)
+    # A range holds few texts, and a text 2**bits ranges of ids at most.
+    inside = Window.partitionBy("shard", "t").orderBy("k_text", "i").rowsBetween(*before)
+    starts = counts.select(*(F.col(c).alias(f"of_{c}") for c in group), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    ranges = dealt.groupBy("shard", "t").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("shard").orderBy("t").rowsBetween(*before)
+    first = ranges.select(F.col("shard").alias("s"), F.col("t").alias("r"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*_PARTS)) - 1
+    numbered = dealt.withColumn("at", place).join(starts, [F.col(c) == F.col(f"of_{c}") for c in group])
+    numbered = numbered.join(first, (F.col("shard") == F.col("s")) & (F.col("t") == F.col("r")))
+    return numbered.withColumn("slot", (F.col("first") + F.col("within") + F.col("at")).cast("long"))
+
+
 def histogram_shards(
     docs: DataFrame,
     shards: int,
@@ -158,7 +182,8 @@ def histogram_shards(
     """Every row with its shard and its slot in the shard, law `bytes`.
 
     A row weighs its text's UTF-8 bytes plus 16. Equal texts are neighbours in
-    the order, so a group of them is cut only where a shard ends. Null texts
+    the order, and slots follow the order, so a group of them is cut only where a
+    shard ends. `rows_per_bucket` only deals out the work. Null texts
     weigh 16 and are equal to the empty text; null ids and repeated rows are
     rows like any other (a repeated row is told apart by its place). An empty
     table gives an empty result; with fewer rows than shards some stay empty.
@@ -167,28 +192,13 @@ def histogram_shards(
     """
     rows = stored(shard_rows(docs, id_col, text_col), "shard-rows")
     keys = sorted(splitters(rows, shards, tolerance, probe_bits))
-    buckets = max(1, rows.count() // rows_per_bucket)
-    placed = rows.select(
-        "*",
-        _shard_of(keys).cast("int").alias("shard"),
-        F.pmod(F.xxhash64(*_PARTS), F.lit(buckets)).alias("_bucket"),
-    )
-    # Slots: buckets in order within a shard, rows in order within a bucket.
-    sizes = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("shard").alias("_shard"),
-        F.col("_bucket").alias("_of"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy("shard", "_bucket").orderBy(*_PARTS)
-    numbered = placed.withColumn("_at", F.row_number().over(inside) - 1)
-    return numbered.join(starts, (F.col("shard") == F.col("_shard")) & (F.col("_bucket") == F.col("_of"))).select(
+    placed = rows.select("*", _shard_of(keys).cast("int").alias("shard"))
+    return _with_slots(placed, max(0, (rows.count() // rows_per_bucket).bit_length())).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("_start") + F.col("_at")).cast("long").alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -56,3 +56,13 @@ def test_edges(spark):
     assert len(out) == 4 and _slots_are_gapless(out)
     assert sorted(r["size"] for r in out) == [16, 16, 16, 300_016]
     assert [r["text_crc32"] for r in out if r["size"] == 16] == [0, 0, 0]
+
+
+def test_slots_follow_the_key_at_every_size(spark):
+    rows = [(i, f"text {i % 927}" if i % 3 else "hot") for i in range(3000)]
+    few = {r["doc_id"]: (r["shard"], r["slot"]) for r in _run(spark, rows, 4, rows_per_bucket=10**6)}
+    many = _run(spark, rows, 4, rows_per_bucket=10)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in many} == few
+    for shard in range(4):
+        texts = [r["text_crc32"] for r in sorted((r for r in many if r["shard"] == shard), key=lambda r: r["slot"])]
+        assert sum(a != b for a, b in zip(texts, texts[1:])) + 1 == len(set(texts))
