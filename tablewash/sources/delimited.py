@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewash.functions.text import WHITESPACE, WS
@@ -15,8 +19,7 @@ SAMPLE_LINES = 20
 SAMPLE_CHARS = 64 * 1024
 
 _PARTITION_BITS = 33  # of monotonically_increasing_id, below the partition
-# Some 200 bytes each; beyond this many the lookup joins by shuffle.
-_BROADCAST_BLOCKS = 200_000
+_FILE_BITS = 42  # of the place in a file, in bytes; the file's rank is above
 _QUOTED = r'"[^"]*("|\z)'
 
 
@@ -93,8 +96,12 @@ def header_names(cells: list[str | None]) -> list[str]:
     return names
 
 
-def _scan(spark: SparkSession, path: str, delimiter: str, multi_line: bool, header: bool, width: int) -> DataFrame:
-    schema = ", ".join(f"_c{i} string" for i in range(width))
+def _scan(
+    spark: SparkSession, path: str, delimiter: str, multi_line: bool, header: bool, width: int, names: list[str] | None = None
+) -> DataFrame:
+    """The file's cells as ``_c0``, ``_c1``, ...; with ``names`` a file whose header differs from them fails the read."""
+    fields = names or [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     return (
         spark.read.schema(schema)
         .option("sep", delimiter)
@@ -103,7 +110,7 @@ def _scan(spark: SparkSession, path: str, delimiter: str, multi_line: bool, head
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .option("enforceSchema", True)
+        .option("enforceSchema", names is None)
         .csv(path)
     )
 
@@ -112,41 +119,38 @@ def _cells(width: int) -> list[Column]:
     return [F.nullif(F.col(f"_c{i}"), F.lit("")) for i in range(width)]
 
 
-def _most_blocks(scan: DataFrame, files: int) -> int:
-    """Upper bound on the file blocks of a scan, from what planning knows."""
-    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    smallest = int(str(scan.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()))
-    return files + size // max(smallest, 1)
+def _file_ranks(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files))], "_path string, _file bigint")
 
 
-def _in_file_order(scan: DataFrame) -> DataFrame:
+def _in_file_order(scan: DataFrame, files: list[str]) -> DataFrame:
     """Row ids that follow file name, then place in the file.
 
-    Within one file the ids Spark counts already rise. Several files are packed
-    into tasks by size, so their blocks (one row each) are ranked by place.
+    A task reads at most as many bytes as lie between the starts of two blocks
+    of a file, and a row has a byte at least. So start of the block plus count
+    in the task never reaches the next block: no block has to be looked up.
     """
-    counted = F.monotonically_increasing_id()
-    files = len(scan.inputFiles())
-    if files < 2:
-        return scan.select(counted.alias(RID), "*")
-    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
-    blocks = scan.select(*place).distinct()
-    ranked = blocks.select("*", F.row_number().over(Window.orderBy("_path", "_start")).alias("_block"))
-    if _most_blocks(scan, files) <= _BROADCAST_BLOCKS:
-        ranked = F.broadcast(ranked)
-    inside = F.col("_id").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
-    placed = scan.select(counted.alias("_id"), *place, "*").join(ranked, ["_path", "_start"])
-    rid = F.shiftleft(F.col("_block").cast("bigint"), _PARTITION_BITS).bitwiseOR(inside)
-    return placed.select(rid.alias(RID), *scan.columns)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
+    if len(files) < 2:
+        return scan.select(F.monotonically_increasing_id().alias(RID), "*")
+    place = F.col("_metadata.file_block_start") + inside
+    placed = scan.select(place.alias("_place"), F.input_file_name().alias("_path"), "*")
+    # One row per file; Spark broadcasts it if its measured size allows.
+    ranked = placed.join(_file_ranks(scan.sparkSession, files), "_path")
+    return ranked.select(F.shiftleft("_file", _FILE_BITS).bitwiseOR(F.col("_place")).alias(RID), *scan.columns)
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True, parallel: bool = False
 ) -> DataFrame:
     """A CSV or TSV as text columns with row ids; empty cells are null.
 
+    A folder is read as files that each carry the header; one with another
+    header fails the read (headers with blank or repeated names are not compared).
     ``multi_line=False`` lets Spark split large files that hold no line break
-    inside quotes. A folder is read as files that each carry the header.
+    inside quotes. ``parallel=True`` splits files that do hold them, too, if quotes
+    only enclose whole fields and are doubled within: then their number tells
+    whether a block of a file begins inside a field.
     """
     delimiter = delimiter or sniff_delimiter(spark, path)
     first = (
@@ -172,16 +176,124 @@ def read_delimited(
 
     # Spark skips blank lines before the header, but not a row of empty cells.
     plain = lead is not None and all(not r["line"].strip(WHITESPACE) for r in first if r["n"] < lead["n"])
-    rows = _in_file_order(_scan(spark, path, delimiter, multi_line, plain, fields))
-    cells = rows.select(RID, *[c.alias(f"_c{i}") for i, c in enumerate(_cells(fields))])
+    files = _files(spark, path)
+    written = [(c or "").lstrip("\ufeff") for c in list(named)[:fields]]
+    if parallel:
+        header = next((r["line"] for r in first if r["line"].strip(WHITESPACE)), "")
+        rows = _parallel_rows(spark, path, files, delimiter, fields, header)
+        plain = True
+    else:
+        # Names that Spark can compare with every file's header: none blank, none twice.
+        checked = written if plain and len(files) > 1 and all(written) and len({w.lower() for w in written}) == fields else None
+        # The names of helper columns begin so.
+        checked = None if any(w.startswith("_") for w in written) else checked
+        rows = _in_file_order(_scan(spark, path, delimiter, multi_line, plain, fields, checked), files)
+    positions = [F.nullif(col(c), F.lit("")) for c in rows.columns if c != RID]
+    cells = rows.select(RID, *[c.alias(f"_c{i}") for i, c in enumerate(positions)])
     kept = cells.where(F.coalesce(*[F.col(f"_c{i}") for i in range(fields)]).isNotNull())
     if not plain:
         kept = kept.where(F.col(RID) > kept.agg(F.min(RID)).scalar())
     return kept.select(RID, *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    return sorted(spark.read.text(path).inputFiles() or [path])
+
+
 def first_file(spark: SparkSession, path: str) -> str:
-    return sorted(spark.read.text(path).inputFiles() or [path])[0]
+    return _files(spark, path)[0]
+
+
+def _assembled(header: str, opened_blocks):
+    """Lines of blocks, in order, to records: ``(path, start, at, kind, text)``.
+
+    Kinds: 0 a whole record; 1 lines that end a record begun in an earlier block,
+    or lie within it; 2 lines that begin one and do not end it. ``at`` counts lines of the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, inside, joins, held, begun, at, titled = None, False, False, [], 0, 0, True
+        opened = opened_blocks.value
+        out: list[tuple] = []
+
+        def flush(kind: int) -> None:
+            nonlocal titled
+            text = "\n".join(held)
+            held.clear()
+            if not titled and kind != 1 and text.strip(WHITESPACE):
+                titled = True
+                if text.lstrip("\ufeff") != header.lstrip("\ufeff"):
+                    raise ValueError(f"The header of {block[0]} differs from that of the first file.")
+                return
+            out.append((*block, begun, kind, text))
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "start", "at", "kind", "text"]
+            )
+
+        for batch in batches:
+            for line, path, start, name, turns in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if block != (path, start):
+                    if held:  # the block before ends inside a field
+                        flush(1 if joins else 2)
+                    block, inside, titled = (path, start), name in opened, start > 0
+                    joins = inside  # whether what is held continues an earlier block
+                if not held:
+                    begun = at
+                held.append(line[:-1] if line.endswith("\r") else line)
+                at += 1
+                inside ^= turns
+                if not inside:
+                    flush(1 if joins else 0)
+                    joins = False
+            if len(out) >= 4096:
+                yield batch_of(out)
+                out = []
+        if held:
+            flush(1 if joins else 2)
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def _parallel_rows(spark: SparkSession, path: str, files: list[str], delimiter: str, width: int, header: str) -> DataFrame:
+    """Records of files in which quotes only enclose fields, read block by block; cells as ``_c0``, ``_c1``, ..."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'))), F.lit(2)) == 1
+    lines = text.select(
+        "value", F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("start"), odd.alias("odd")
+    )
+    # One row per block: how many lines turn the quotes over, and whether the block begins inside them.
+    blocks = lines.groupBy("path", "start").agg(F.sum(F.col("odd").cast("bigint")).alias("turns"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    turned = blocks.select("path", "start", (F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2 == 1).alias("opened"))
+    # 8 bytes for each block that begins inside quotes: at most 6 MB for 100 TB of text.
+    opened = turned.where("opened").select(F.xxhash64("path", "start").alias("h")).toLocalIterator()
+    shared = spark.sparkContext.broadcast(frozenset(r["h"] for r in opened))
+    asked = lines.select("value", "path", "start", F.xxhash64("path", "start"), "odd")
+    parts = asked.mapInArrow(_assembled(header, shared), "path string, start bigint, at bigint, kind int, text string")
+    whole = parts.where("kind = 0").select("path", (F.col("start") + F.col("at")).alias("place"), "text")
+    # Two at most of a block: what is begun in one block goes on in the next ones.
+    order = Window.partitionBy("path").orderBy("start", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = parts.where("kind > 0").withColumn("record", F.sum((F.col("kind") == 2).cast("bigint")).over(order))
+    pieces = F.array_sort(F.collect_list(F.struct("start", "at", "text")))
+    mended = cut.groupBy("path", "record").agg(pieces.alias("pieces"))
+    mended = mended.select(
+        "path",
+        (F.col("pieces")[0]["start"] + F.col("pieces")[0]["at"]).alias("place"),
+        F.array_join(F.transform("pieces", lambda x: x["text"]), "\n").alias("text"),
+    )
+    records = whole.unionByName(mended)
+    if len(files) > 1:
+        ranked = records.join(_file_ranks(spark, files), F.col("path") == F.col("_path"))
+        records = ranked.select(F.shiftleft("_file", _FILE_BITS).bitwiseOR(F.col("place")).alias("place"), "text")
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return records.select(F.col("place").alias(RID), F.from_csv("text", schema, options).alias("r")).select(RID, "r.*")
 
 
 def _written(df: DataFrame) -> DataFrame:
