@@ -1,8 +1,9 @@
 """Quality rules: a linear-chain conditional random field labels each line content or boilerplate.
 
 Lines are described by a few yes/no features. The weights come from labelled
-documents: lines of good ones are content, lines of bad ones boilerplate, and
-the chain's transitions smooth what single lines leave open. Viterbi decoding
+documents: lines of good ones are content, and in bad ones those are boilerplate
+that are of a kind bad documents have more often, half of the lines at least. The
+chain's transitions smooth what single lines leave open. Viterbi decoding
 gives the best label sequence; the share of words in content lines decides
 whether a document stays. Counts over the whole text can reject it first.
 """
@@ -154,76 +155,120 @@ def viterbi(scores: list[float], model: LineModel) -> list[bool]:
     return labels[::-1]
 
 
+def line_labels(sequences: list[tuple[list[int], bool]], odds: float = 2.0) -> list[np.ndarray]:
+    """Which lines of labelled documents are content (True), by how much more often their kind occurs in bad ones.
+
+    Lines of good documents are content. In a bad one those lines are boilerplate whose
+    feature mask is `odds` times as frequent in bad documents as in good ones,
+    and if these are under half of its lines, the next likely ones up to half: the label of the
+    document is a bound on the share, not the label of each line.
+    """
+    counts: tuple[dict[int, float], dict[int, float]] = ({}, {})
+    for masks, good in sequences:
+        for m in masks:
+            counts[good][m] = counts[good].get(m, 0.0) + 1 / len(masks)
+    total = [max(1.0, sum(c.values())) for c in counts]
+    ratio = {
+        m: (counts[0].get(m, 0.0) + 0.5) / (total[0] + 1) / ((counts[1].get(m, 0.0) + 0.5) / (total[1] + 1))
+        for m in counts[0].keys() | counts[1].keys()
+    }
+    found = []
+    for masks, good in sequences:
+        content = np.ones(len(masks), bool)
+        if not good:
+            likely = np.array([ratio[m] for m in masks])
+            content = likely < odds
+            content[np.argsort(-likely, kind="stable")[: (len(masks) + 1) // 2]] = False
+        found.append(content)
+    return found
+
+
+def _chunks(sequences: list[tuple[list[int], bool]], gold: list[np.ndarray], cells: int = 1 << 16):
+    """Documents of about equal length side by side: (masks, there, gold, which), padded to the longest of each chunk."""
+    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i][0]))
+    while order:
+        long = len(sequences[order[-1]][0])
+        take, order = order[-max(1, cells // long) :], order[: -max(1, cells // long)]
+        masks, there = np.zeros((len(take), long), np.int64), np.zeros((len(take), long), bool)
+        want = np.zeros((len(take), long), bool)
+        for row, i in enumerate(take):
+            n = len(sequences[i][0])
+            masks[row, :n], there[row, :n], want[row, :n] = sequences[i][0], True, gold[i]
+        yield masks, there, want, np.array(take)
+
+
 def fit(sequences: list[tuple[list[int], bool]], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> LineModel:
-    """Maximum likelihood by forward-backward and Adam over (feature masks, is content) sequences."""
+    """Maximum likelihood by forward-backward and Adam over (feature masks, is good) sequences, lines labelled by `line_labels`."""
     sequences = [s for s in sequences if s[0]]
     if len({y for _, y in sequences}) < 2:
         return ALL_CONTENT
-    long = max(len(m) for m, _ in sequences)
-    masks = np.zeros((len(sequences), long), np.int64)
-    there = np.zeros((len(sequences), long), bool)
-    for i, (m, _) in enumerate(sequences):
-        masks[i, : len(m)] = m
-        there[i, : len(m)] = True
+    chunks = list(_chunks(sequences, line_labels(sequences)))
     y = np.array([s[1] for s in sequences])
     # Both kinds weigh the same, and a long document no more than a short one.
-    weight = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    per_line = (weight / there.sum(1))[:, None] * there
-    x = np.concatenate([np.ones((*masks.shape, 1)), masks[..., None] >> np.arange(len(FEATURES)) & 1], 2)
-    theta = np.zeros(x.shape[2] + 6)
+    weights = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    size = len(FEATURES) + 1
+    theta = np.zeros(size + 6)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    gold = np.repeat(y[:, None], long, 1)
-    pair = per_line[:, 1:] * there[:, 1:]
     for step in range(1, steps + 1):
-        w, start, moves = theta[: x.shape[2]], theta[-6:-4], theta[-4:].reshape(2, 2)
-        emit = np.stack([np.zeros(masks.shape), x @ w], 2)
-        fore, back = np.zeros_like(emit), np.zeros_like(emit)
-        fore[:, 0] = start + emit[:, 0]
-        for t in range(1, long):
-            new = np.logaddexp.reduce(fore[:, t - 1, :, None] + moves, 1) + emit[:, t]
-            fore[:, t] = np.where(there[:, t, None], new, fore[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            new = np.logaddexp.reduce(moves + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(there[:, t + 1, None], new, 0)
-        norm = np.logaddexp.reduce(fore[:, -1], 1)[:, None]
-        is_content = np.exp(np.clip(fore[:, :, 1] + back[:, :, 1] - norm, -50, 0))
-        miss = (gold - is_content) * per_line
-        gradient = np.zeros_like(theta)
-        gradient[: x.shape[2]] = np.einsum("nt,ntf->f", miss, x)
-        first = weight * (y - is_content[:, 0])
-        gradient[-6], gradient[-5] = -first.sum() / long, first.sum() / long
-        if long > 1:
-            joint = fore[:, :-1, :, None] + moves + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - norm[..., None, None]
-            joint = np.exp(np.clip(joint, -50, 0)) * pair[..., None, None]
-            seen = np.zeros((2, 2))
-            seen[1, 1], seen[0, 0] = (pair * gold[:, 1:]).sum(), (pair * ~gold[:, 1:]).sum()
-            gradient[-4:] = (seen - joint.sum((0, 1))).ravel()
-        gradient -= penalty * theta
+        gradient = sum(_gradient(theta, *chunk[:3], weights[chunk[3]]) for chunk in chunks) - penalty * theta
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         theta += rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    w, start, moves = theta[: x.shape[2]], theta[-6:-4], theta[-4:].reshape(2, 2)
+    w, start, moves = theta[:size], theta[-6:-4], theta[-4:].reshape(2, 2)
     return LineModel(float(w[0]), tuple(map(float, w[1:])), tuple(map(float, start)), tuple(tuple(map(float, m)) for m in moves))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_kind: int = 1000, lines_per_doc: int = 64) -> LineModel:
+def _gradient(theta: np.ndarray, masks: np.ndarray, there: np.ndarray, gold: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the documents' weighted mean log-likelihood a line."""
+    size, long = theta.size - 6, masks.shape[1]
+    lines = there.sum(1)
+    per_line = (weight / lines)[:, None] * there
+    x = np.concatenate([np.ones((*masks.shape, 1)), masks[..., None] >> np.arange(len(FEATURES)) & 1], 2)
+    w, start, moves = theta[:size], theta[-6:-4], theta[-4:].reshape(2, 2)
+    emit = np.stack([np.zeros(masks.shape), x @ w], 2)
+    fore, back = np.zeros_like(emit), np.zeros_like(emit)
+    fore[:, 0] = start + emit[:, 0]
+    for t in range(1, long):
+        new = np.logaddexp.reduce(fore[:, t - 1, :, None] + moves, 1) + emit[:, t]
+        fore[:, t] = np.where(there[:, t, None], new, fore[:, t - 1])
+    for t in range(long - 2, -1, -1):
+        new = np.logaddexp.reduce(moves + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(there[:, t + 1, None], new, 0)
+    norm = np.logaddexp.reduce(fore[:, -1], 1)[:, None]
+    is_content = np.exp(np.clip(fore[:, :, 1] + back[:, :, 1] - norm, -50, 0))
+    gradient = np.zeros_like(theta)
+    gradient[:size] = np.einsum("nt,ntf->f", (gold - is_content) * per_line, x)
+    first = (weight / lines * (gold[:, 0] - is_content[:, 0])).sum()
+    gradient[-6], gradient[-5] = -first, first
+    if long > 1:
+        pair = per_line[:, 1:] * there[:, 1:]
+        joint = fore[:, :-1, :, None] + moves + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - norm[..., None, None]
+        joint = np.exp(np.clip(joint, -50, 0)) * pair[..., None, None]
+        was, now = gold[:, :-1], gold[:, 1:]
+        seen = np.array([[(pair * (a & b)).sum() for b in (~now, now)] for a in (~was, was)])
+        gradient[-4:] = (seen - joint.sum((0, 1))).ravel()
+    return gradient
+
+
+def train(docs: DataFrame, labels: DataFrame, per_kind: int = 1000) -> LineModel:
     """Fit on a bounded sample of labelled documents.
 
     At most `per_kind` documents of each quality, those with the smallest
-    seeded hash of their id, and at most `lines_per_doc` lines of each go into
-    the training set; only feature masks come to the driver. A label without a
-    document, a null or another value than 0 and 1 takes no part.
+    seeded hash of their id, go into the training set with all their lines; only
+    feature masks come to the driver. A label without a document, a null or
+    another value than 0 and 1 takes no part. Ids may be of any type.
     """
     chosen = [
         hash_sample(labels.filter(F.col("quality") == q), "doc_id", per_kind).select("doc_id", F.lit(q).alias("_q"))
         for q in (0, 1)
     ]
+    kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.sparkSession.createDataFrame(
-        [(r["doc_id"], r["_q"]) for c in chosen for r in c.collect()], "_id long, _q int"
+        [(r["doc_id"], r["_q"]) for c in chosen for r in c.collect()], f"_id {kind}, _q int"
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
 
     def masks(kind: pa.Array, found: list[bytes]) -> pa.RecordBatch:
-        own = [split_lines(t)[1][:lines_per_doc] for t in found]
+        own = [split_lines(t)[1] for t in found]
         return pa.RecordBatch.from_arrays([kind, pa.array(own, pa.list_(pa.int32()))], ["q", "masks"])
 
     rows = map_texts(texts, masks, "q int, masks array<int>", id_col="_q").collect()

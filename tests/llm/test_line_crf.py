@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tablewash.llm.line_crf import ALL_CONTENT, LineModel, fit, label_lines, line_features, repeated_words, split_lines, train, viterbi
+from tablewash.llm.line_crf import ALL_CONTENT, LineModel, fit, label_lines, line_features, line_labels, repeated_words, split_lines, train, viterbi
 
 _CLASS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,3 +95,53 @@ def test_trained_on_tables(spark):
 def test_lines():
     words, masks, again = split_lines("a b\n\n  \nc\na b\na b ".encode())
     assert [len(w) for w in words] == [2, 1, 2, 2] and again == 1 and len(masks) == 4
+
+
+def test_lines_of_mixed_documents_are_told_apart():
+    pick = random.Random(3)
+
+    def line(junk):
+        words = [pick.choice([b"ember", b"fjord", b"grove", b"isle"]) for _ in range(pick.randint(5, 14))]
+        text = b" | ".join(words) if junk else b" ".join(words) + b"."
+        return line_features(text, text.split(), False)
+
+    def mixed(junk_lines, lines):
+        runs = [True] * junk_lines + [False] * (lines - junk_lines)
+        if pick.random() < 0.5:
+            runs.reverse()
+        return [line(j) for j in runs], [not j for j in runs]
+
+    def documents(n):
+        for i in range(n):
+            lines = pick.randint(2, 12)
+            good = i % 2 == 0
+            masks, gold = mixed(0 if good else pick.randint((lines + 1) // 2, lines), lines)
+            yield masks, good, gold
+
+    train_set = list(documents(300))
+    # A very long document is learnt from as a whole.
+    train_set.append(([line(False) for _ in range(400)], True, [True] * 400))
+    assert [list(x) for x in line_labels([(m, y) for m, y, _ in train_set])] == [g for _, _, g in train_set]
+    model = fit([(m, y) for m, y, _ in train_set])
+    right = total = sequences = 0
+    for masks, _, gold in documents(300):
+        labels = viterbi([model.emission(m) for m in masks], model)
+        right += sum(a == b for a, b in zip(labels, gold, strict=True))
+        total += len(gold)
+        sequences += len(set(labels)) > 1
+    assert right > 0.98 * total and sequences > 60
+
+
+def test_half_of_a_bad_document_is_boilerplate():
+    good = [([1, 2, 2], True)] * 5
+    assert [x.tolist() for x in line_labels([*good, ([1, 2, 4, 2], False), ([2], False), ([4, 4, 4, 2], False)])[5:]] == [
+        [True, False, False, True], [False], [False, False, False, True],
+    ]
+
+
+def test_shares_on_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text"), labels.selectExpr("concat('d', doc_id) AS doc_id", "quality")
+    shares = [r["content_share"] for r in label_lines(docs, train(*named)).collect() if r["n_lines"] > 1]
+    assert sum(0 < s < 1 for s in shares) > 20
