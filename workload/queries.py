@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -151,6 +152,26 @@ def i_overview(spark: SparkSession, folder: str) -> DataFrame:
     return data.overview().drop("pos")
 
 
+def p_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole record of every column."""
+    record = prof.profile_columns(Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").frequencies())
+    formats = F.array_sort(F.map_entries("date_stats.formats_present"))
+
+    def listed(items, text) -> Column:
+        return F.array_join(F.transform(items, text), "|")
+
+    numbers = ("n", "min", "max", "mean", "median", "p25", "p75", "sum")
+    return record.select(
+        "column", "inferred_type", "total_rows", "missing_count", "missing_pct", "distinct_count",
+        listed("sample_values", lambda x: x).alias("samples"),
+        *[F.col(f"number_stats.{c}").alias(c) for c in numbers],
+        F.col("date_stats.min").alias("first_date"), F.col("date_stats.max").alias("last_date"),
+        F.coalesce("number_stats.unparseable_count", "date_stats.unparseable_count").alias("unparseable_count"),
+        listed(formats, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))).alias("formats"),
+        listed("top_values", lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))).alias("top"),
+    )
+
+
 PROFILES: dict[str, Query] = {
     "i_infer_types": _profile(prof.infer_types),
     "i_overview": i_overview,
@@ -160,6 +181,7 @@ PROFILES: dict[str, Query] = {
     "p_date": _profile(prof.date_profile),
     "p_date_formats": _profile(prof.date_formats),
     "p_top_values": _profile(prof.top_values),
+    "p_profile": p_profile,
 }
 
 
@@ -210,6 +232,39 @@ def d_by_severity(spark: SparkSession, folder: str) -> DataFrame:
     return iss.count_by_severity(Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").issues())
 
 
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    return Dataset.load(messy_sales(spark, folder), "messy_sales", "rid").issues()
+
+
+def d_details(spark: SparkSession, folder: str) -> DataFrame:
+    """All issues with their sentences; the spellings of a label are compared by d_fix_mapping."""
+    spelt = F.col("kind") == "inconsistent_categories"
+    detail = F.when(spelt, F.regexp_extract("detail", "^[0-9]+ labels are spelt in several ways", 0)).otherwise(F.col("detail"))
+    return _found(spark, folder).select("id", "kind", "column", "count", detail.alias("detail"))
+
+
+def d_fixes(spark: SparkSession, folder: str) -> DataFrame:
+    """All suggested fixes with their parameters but the mappings."""
+    params = [F.get_json_object("suggested_fix.params", f"$.{p}").alias(f"fix_{p}") for p in ("column", "strategy", "operator")]
+    return _found(spark, folder).select("id", F.col("suggested_fix.op").alias("op"), *params)
+
+
+def d_fix_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """What the suggested mappings replace, whether written out or named."""
+    issues = _found(spark, folder).where("kind = 'inconsistent_categories'")
+    fixes = {r["column"]: r["params"] for r in issues.select("column", "suggested_fix.params").collect()}  # one a column at most
+    parts = []
+    for column, params in fixes.items():
+        fix = json.loads(params)
+        if isinstance(fix["mapping"], dict):
+            rows = spark.createDataFrame(list(fix["mapping"].items()), "variant string, canonical string")
+        else:
+            rows = iss.stored_mapping(spark.read.parquet(fix["table"]), column)
+        parts.append(rows.select(F.lit(column).alias("column"), "variant", "canonical"))
+    none = spark.createDataFrame([], "column string, variant string, canonical string")
+    return reduce(DataFrame.unionByName, parts, none)
+
+
 ISSUES: dict[str, Query] = {
     "d_duplicate_rows": d_duplicate_rows,
     "d_missing": _from_counts("missing_values"),
@@ -221,6 +276,9 @@ ISSUES: dict[str, Query] = {
     "d_categories": d_categories,
     "d_category_mapping": d_category_mapping,
     "d_all": d_all,
+    "d_details": d_details,
+    "d_fixes": d_fixes,
+    "d_fix_mapping": d_fix_mapping,
     "d_severity": _filtered(severity="high"),
     "d_column": _filtered(column="amount"),
     "d_by_severity": d_by_severity,
