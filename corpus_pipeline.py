@@ -11,9 +11,8 @@ from tablewash.llm.common import stored
 
 PIECES = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 
-#: As in the contract of the suffix-array operator. Shorter strings find more passages of 50 words, but at 200 bytes
-#: large groups of near copies made a join too large (figures in the README).
-PASSAGE_BYTES = 400
+#: Passages of more than 50 words are to be found: 51 words of three letters and a space are longer.
+PASSAGE_BYTES = 200
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
