@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewash.functions.text import is_blank
 from tablewash.operators.query import in_order
+from tablewash.operators.sketches import approximate_distinct
 from tablewash.operators.sums import PARTS, digit_sums, with_digits, with_totals
 from tablewash.operators.table import RID, cell_number, cell_text, col, require_columns
 
@@ -32,7 +33,9 @@ def _checked(df: DataFrame, metric: dict) -> None:
 
 def _distinct(df: DataFrame, metric: dict) -> Column:
     text = cell_text(df, metric["column"])
-    return F.count_distinct(F.when(~is_blank(text), text))
+    known = F.when(~is_blank(text), text)
+    # With ``approximate`` a sketch of fixed size per group instead of its values.
+    return approximate_distinct(known) if metric.get("approximate") else F.count_distinct(known)
 
 
 def _plain_groups(df: DataFrame, keys: list[Column], metrics: list[dict]) -> DataFrame:

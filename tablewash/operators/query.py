@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewash.functions.compare import all_of, predicate, sort_keys
+from tablewash.functions.compare import predicate, sort_keys
+from tablewash.operators.membership import filtered, split_long
 from tablewash.operators.table import RID, col, column_type, data_columns, fresh, require_columns
 
 PAGE_SIZE = 50
@@ -20,12 +21,13 @@ def condition(df: DataFrame, column: str, operator: str = "eq", value: Any = Non
 
 
 def filter_rows(df: DataFrame, filters: list[dict]) -> DataFrame:
-    """Rows that meet all conditions, each ``{column, operator, value}``."""
-    if not filters:
-        return df
-    return df.where(
-        all_of([condition(df, f["column"], f.get("operator") or "eq", f.get("value")) for f in filters])
-    )
+    """Rows that meet all conditions, each ``{column, operator, value}``.
+
+    The value of ``in`` may be a list of any length or a one-column frame.
+    """
+    plain, long = split_long(filters)
+    conditions = [condition(df, f["column"], f.get("operator") or "eq", f.get("value")) for f in plain]
+    return filtered(df, long, conditions)
 
 
 def in_order(df: DataFrame, sort: dict | None, last: str = RID) -> DataFrame:

@@ -24,9 +24,11 @@ from tablewash.operators.fill import with_value_above
 from tablewash.operators.frequency import Frequencies, settled
 from tablewash.operators.issues import VARIANTS_MAPPING, category_mapping, row_keys, stored_mapping
 from tablewash.operators.quantile import exact_quantiles
+from tablewash.operators.membership import is_long, marked_in
 from tablewash.operators.query import condition, in_order
 from tablewash.operators.sums import exact_totals
 from tablewash.operators.table import RID, cell_number, cell_text, col, data_columns, fresh, is_text, require_columns
+from tablewash.plans.artifacts import facts_of, is_reference, load_reference
 
 # A mapping handed over as parameters is broadcast up to this many characters.
 _MAP_BROADCAST_CHARS = 32_000_000
@@ -204,14 +206,32 @@ def _plain_text(value: Any) -> str | None:
     return ("true" if value else "false") if isinstance(value, bool) else str(value)
 
 
+def unique_variants(mapping: DataFrame) -> DataFrame:
+    """A variant listed twice takes the smaller text, null first."""
+    return mapping.groupBy("variant").agg(F.min(F.struct("canonical")).alias("c")).select("variant", "c.canonical")
+
+
+def frames_of(df: DataFrame, op: str, params: dict) -> dict:
+    """The parameters with a mapping that detection stored as the frame it names."""
+    if op == "map_values" and params.get("mapping") == VARIANTS_MAPPING and params.get("table"):
+        found = stored_mapping(df.sparkSession.read.parquet(params["table"]), params["column"])
+        return {k: found if k == "mapping" else v for k, v in params.items() if k != "table"}
+    return params
+
+
 def map_values(df: DataFrame, params: dict) -> Step:
     """Replace exact texts. The mapping is a dict, a frame ``(variant,
-    canonical)`` with unique variants, or the name of the one detection finds,
-    with the ``table`` it was stored in; without one it is found anew."""
+    canonical)``, a reference to a stored one, or the name of the one detection
+    finds, with the ``table`` it was stored in; without one it is found anew."""
     column, mapping = _required(params, "column", "mapping")
     require_columns(df, [column])
     text = cell_text(df, column)
-    if isinstance(mapping, dict):
+    if is_reference(mapping):
+        lookup = unique_variants(load_reference(df.sparkSession, mapping))
+        # Its size is known: below the bound no row of the table is shuffled.
+        if facts_of(mapping)["chars"] <= _MAP_BROADCAST_CHARS:
+            lookup = F.broadcast(lookup)
+    elif isinstance(mapping, dict):
         # Numbers become text by the rules for cells, whatever the mapping's size.
         rows = [
             (str(k), float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None, _plain_text(v))
@@ -223,8 +243,7 @@ def map_values(df: DataFrame, params: dict) -> Step:
             lookup = F.broadcast(lookup)
         params = {**params, "mapping": dict(mapping)}
     elif isinstance(mapping, DataFrame):
-        # A variant listed twice takes the smaller text, null first.
-        lookup = mapping.groupBy("variant").agg(F.min(F.struct("canonical")).alias("c")).select("variant", "c.canonical")
+        lookup = unique_variants(mapping)
         params = {**params, "mapping": "table"}
     elif mapping == VARIANTS_MAPPING and params.get("table"):
         # What detection stored, whatever has become of the column since.
@@ -256,21 +275,26 @@ def drop_column(df: DataFrame, params: dict) -> Step:
     return _step("drop_column", params, df, f"Drop {', '.join(columns)}", drops=columns)
 
 
-def _rows_where(op: str, df: DataFrame, params: dict) -> tuple[Column, str]:
+def _rows_where(df: DataFrame, params: dict) -> tuple[DataFrame, Column, str]:
     column = _required(params, "column")[0]
-    operator = params.get("operator") or "eq"
-    met = condition(df, column, operator, params.get("value"))
-    return met, f"{column} {operator} {params.get('value', '')}".strip()
+    operator, value = params.get("operator") or "eq", params.get("value", "")
+    if is_reference(value):
+        value = load_reference(df.sparkSession, value)
+    if operator == "in" and is_long(value):
+        frame, met = marked_in(df, column, value)
+        size = "a table" if isinstance(value, DataFrame) else f"{len(value)} values"
+        return frame, met, f"{column} in {size}"
+    return df, condition(df, column, operator, params.get("value")), f"{column} {operator} {value}".strip()
 
 
 def drop_rows_where(df: DataFrame, params: dict) -> Step:
-    met, words = _rows_where("drop_rows_where", df, params)
-    return _step("drop_rows_where", params, df, f"Drop rows where {words}", keep=~holds(met))
+    frame, met, words = _rows_where(df, params)
+    return _step("drop_rows_where", params, df, f"Drop rows where {words}", frame=frame, keep=~holds(met))
 
 
 def keep_rows_where(df: DataFrame, params: dict) -> Step:
-    met, words = _rows_where("keep_rows_where", df, params)
-    return _step("keep_rows_where", params, df, f"Keep rows where {words}", keep=met)
+    frame, met, words = _rows_where(df, params)
+    return _step("keep_rows_where", params, df, f"Keep rows where {words}", frame=frame, keep=met)
 
 
 def deduplicate(df: DataFrame, params: dict) -> Step:

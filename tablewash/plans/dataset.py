@@ -12,6 +12,7 @@ from tablewash.operators import aggregate as agg
 from tablewash.operators import issues as iss
 from tablewash.operators import profile as prof
 from tablewash.operators.frequency import Frequencies
+from tablewash.operators.keyed_pages import KeyedPage, page_after
 from tablewash.operators.query import Page, query_rows
 from tablewash.operators.table import data_columns, require_columns, with_order
 from tablewash.plans.autofix import suggested_fixes
@@ -83,6 +84,10 @@ class Dataset:
     def query(self, **arguments: Any) -> Page:
         return query_rows(self.table, **arguments)
 
+    def page_after(self, after: str | None = None, **arguments: Any) -> KeyedPage:
+        """The page after a cursor, at the cost of a first page however far down it is."""
+        return page_after(self.table, after, **arguments)
+
     def aggregate(self, **arguments: Any) -> DataFrame:
         return agg.aggregate(self.table, **arguments)
 

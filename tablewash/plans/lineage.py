@@ -31,6 +31,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in system.listStatus(place)] if system.exists(place) else []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame once and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -1,7 +1,7 @@
 """Recipes: reviewed lists of transforms, folded over an immutable source.
 
 Proposing plans a step and its diff but runs nothing. Approving appends the
-step. Undo is a shorter fold; there are no snapshots.
+step and stores the frames it was given. Undo is a shorter fold; there are no snapshots.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewash.operators.diff import diff_examples, diff_summary
-from tablewash.operators.transforms import Step, apply_op, plan_step
+from tablewash.operators.transforms import Step, apply_op, frames_of, plan_step
+from tablewash.plans.artifacts import ArtifactStore
 from tablewash.plans.lineage import cut_lineage
 
 STATUSES = ("pending", "approved", "rejected", "failed")
@@ -75,13 +76,19 @@ class Applied:
 class Recipe:
     """The applied steps and the proposals about them, for one source frame."""
 
-    def __init__(self, source: DataFrame):
+    def __init__(self, source: DataFrame, artifacts: str | None = None):
         self.source = source
+        # Where the tables lie that steps were given, in the session's shared folder unless named.
+        self._artifacts = artifacts
         self.steps: list[Applied] = []
         self.proposals: list[Proposal] = []
         # The table before each step and after the last: plans, not copies.
         self._versions = [source]
 
+    @property
+    def artifacts(self) -> ArtifactStore:
+        return ArtifactStore(self.source.sparkSession, self._artifacts)
+
     @property
     def current(self) -> DataFrame:
         return self._versions[-1]
@@ -109,6 +116,9 @@ class Recipe:
         p = self._pending(proposal_id)
         p.decided_at = _now()
         try:
+            params = frames_of(self.current, p.op, p.params)
+            if any(isinstance(v, DataFrame) for v in params.values()):
+                p.params = self.artifacts.own(params)
             step = plan_step(self.current, p.op, p.params)
             # The lineage of ids made by a sort depends on the task layout.
             after = cut_lineage(step.result) if p.op == "sort_rows" else step.result
