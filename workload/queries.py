@@ -17,7 +17,9 @@ from tablewash.operators import issues as iss
 from tablewash.operators import profile as prof
 from tablewash.operators.diff import diff_examples, diff_frames, diff_summary
 from tablewash.operators.frequency import Frequencies
+from tablewash.operators.keyed_pages import page_after
 from tablewash.operators.query import filter_rows, in_order, query_rows
+from tablewash.operators.sketches import SketchStore, frequent_values
 from tablewash.operators.table import RID, col, data_columns, with_order
 from tablewash.operators.transforms import apply_op, plan_step
 from tablewash.plans.autofix import suggested_fixes
@@ -320,6 +322,30 @@ def q_matched(spark: SparkSession, folder: str) -> DataFrame:
     return query_rows(sales(spark, folder), filters=[_is("segment", "contains", "auto")]).matched
 
 
+def q_page_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The third page of 50, each one found by the cursor of the page before."""
+    df, cursor = sales(spark, folder), None
+    how = {"sort": {"column": "quantity", "direction": "desc"}, "columns": ["order_id", "quantity"]}
+    for _ in range(2):
+        cursor = page_after(df, cursor, **how).cursor()
+    return page_after(df, cursor, **how).rows
+
+
+def q_in_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of a list of 100,000 customers."""
+    orders = table(spark, folder, "orders", "o_orderkey")
+    wanted = list(range(2, 300_002, 3))
+    return filter_rows(orders, [_is("o_custkey", "in", wanted)]).select(F.col(RID).alias("o_orderkey"), "o_custkey")
+
+
+def q_in_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of the customers in debt, who come as a table."""
+    orders = table(spark, folder, "orders", "o_orderkey")
+    debtors = spark.read.parquet(f"{folder}/customer.parquet").where("c_acctbal < 0").select("c_custkey")
+    found = filter_rows(orders, [_is("o_custkey", "in", debtors)])
+    return found.select(F.col(RID).alias("o_orderkey"), "o_custkey", "o_orderstatus")
+
+
 QUERIES: dict[str, Query] = {
     "q_filter_and": _where(_is("segment", "contains", "mach"), _is("amount", "gt", 100000), _is("priority", "not_blank")),
     "q_eq": _where(_is("amount", "eq", "112,946")),
@@ -342,6 +368,9 @@ QUERIES: dict[str, Query] = {
     "q_project": lambda spark, folder: sales(spark, folder).select("priority", "order_id"),
     "q_page": _page(sort={"column": "quantity", "direction": "desc"}, columns=["order_id", "quantity"], offset=30),
     "q_matched": q_matched,
+    "q_page_after": q_page_after,
+    "q_in_long": q_in_long,
+    "q_in_table": q_in_table,
 }
 
 
@@ -383,11 +412,32 @@ def _chart(sort: str, limit: int) -> Query:
     )
 
 
+def a_distinct_approx(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders by segment: the exact count, and whether the sketch's is within 5 %."""
+    exact = {"fn": "distinct", "column": "order_id", "as": "orders"}
+    groups = agg.aggregate(sales(spark, folder), ["segment"], [exact, {**exact, "approximate": True, "as": "near"}])
+    within = F.abs(F.col("near") - F.col("orders")) <= F.col("orders") * 0.05
+    return groups.select("segment", "orders", within.alias("within_bound"))
+
+
+def p_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent values of orders from sketches that were stored by year and merged."""
+    orders, year = table(spark, folder, "orders", "o_orderkey"), F.year("o_orderdate")
+    store = SketchStore(spark, scratch(spark))
+    columns = ["o_orderpriority", "o_orderstatus"]
+    # Two loads: the second one adds the years that are new.
+    store.add(orders.where(year < 1995), year, columns)
+    store.add(orders, year, columns)
+    return frequent_values(store.sketches(), 0.05)
+
+
 AGGREGATES: dict[str, Query] = {
     "a_group1": _groups("messy_sales", ["segment"], {"fn": "count", "as": "n"}),
     "a_group2": _groups("messy_sales", ["segment", "priority"], {"fn": "count", "as": "n"}),
     "a_global": _groups("messy_sales", [], {"fn": "count"}, {"fn": "sum", "column": "amount"}),
     "a_count": _groups("messy_sales", ["priority"], {"fn": "count", "column": "amount"}),
+    "a_distinct_approx": a_distinct_approx,
+    "p_sketches": p_sketches,
     "a_distinct": _groups(
         "messy_sales", ["segment"], {"fn": "distinct", "column": "order_id"}, {"fn": "distinct", "column": "priority"}
     ),
@@ -592,11 +642,24 @@ def r_autofix(spark: SparkSession, folder: str) -> DataFrame:
     return shown(replay(df, fixes), "segment", "amount", "discount")
 
 
+def r_replay_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """A recipe that was given two frames, a mapping and a list, replayed from its JSON."""
+    df = sales(spark, folder)
+    names = spark.read.parquet(f"{folder}/customer.parquet").select("c_mktsegment").distinct()
+    spelled = F.explode(F.array("c_mktsegment", F.lower("c_mktsegment"))).alias("variant")
+    mapping = names.select(spelled, F.initcap("c_mktsegment").alias("canonical"))
+    recipe = Recipe(df)
+    recipe.apply("map_values", {"column": "segment", "mapping": mapping})
+    recipe.apply("keep_rows_where", {"column": "segment", "operator": "in", "value": names.select(F.initcap("c_mktsegment"))})
+    return shown(replay(df, recipe.to_json()), "segment")
+
+
 RECIPES: dict[str, Query] = {
     "r_clean_revenue": revenue_by_segment,
     **{
         f.__name__: f
         for f in (
+            r_replay_frames,
             r_diff_map,
             r_diff_dedup,
             r_diff_join,
