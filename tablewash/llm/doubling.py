@@ -2,10 +2,11 @@
 
 Windows of about half the length are looked at first; only where such a window
 occurs in two documents can a window of twice its length, so only there the
-longer ones are made. At the lowest level not every window is looked at but
+longer ones are made. Below full length not every window is looked at but
 one anchor for each window of full length, the smallest hash in it: equal
-windows have equal anchors. At full length the smallest doc_id of every window
-decides what goes.
+windows have equal anchors at every level. The levels are gone through until
+full length or until no candidate is left. At full length the smallest doc_id
+of every window decides what goes.
 """
 
 from __future__ import annotations
@@ -96,8 +97,18 @@ class _Batch:
         return below, _smallest(below, length - low + 1)
 
 
-def _anchor_rows(length: int, low: int, spread: bool):
-    """Per batch: with `spread` each anchor with its smallest and largest text name, else the distinct (anchor, doc)."""
+def _marked(made: _Batch, least: np.ndarray, marks: pa.Array) -> np.ndarray:
+    """Full windows whose anchor is among the repeated ones of their document."""
+    owner = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy())
+    known = marks.flatten().to_numpy().view(np.uint64)
+    return _member(least, made.row[: least.size], known, owner) & made.whole
+
+
+def _anchor_rows(length: int, low: int, spread: bool, below: int | None = None):
+    """Per batch: with `spread` each anchor with its smallest and largest text name, else the distinct (anchor, doc).
+
+    With a level `below`, only of full windows whose anchor there is among the document's repeated ones, the third column.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -106,7 +117,10 @@ def _anchor_rows(length: int, low: int, spread: bool):
             h, name = np.empty(0, np.uint64), np.empty(0, np.int64)
             if made.whole.any():
                 _, least = made.anchors(length, low)
-                h, name = least[made.whole], names[made.row[: least.size][made.whole]]
+                wanted = made.whole
+                if below is not None:
+                    wanted = _marked(made, made.anchors(length, below)[1], batch.column(2))
+                h, name = least[wanted], names[made.row[: least.size][wanted]]
                 # A window and its neighbour mostly share the anchor.
                 new = np.ones(h.size, bool)
                 new[1:] = (h[1:] != h[:-1]) | (name[1:] != name[:-1])
@@ -138,10 +152,7 @@ def _window_rows(length: int, low: int):
             doc = np.empty(0, np.int64)
             if made.whole.any():
                 _, least = made.anchors(length, low)
-                marks = batch.column(2)
-                owner = np.repeat(np.arange(len(marks)), marks.value_lengths().to_numpy())
-                known = marks.flatten().to_numpy().view(np.uint64)
-                wanted = _member(least, made.row[: least.size], known, owner) & made.whole
+                wanted = _marked(made, least, batch.column(2))
                 a = window_hashes(made.hashes, length)[wanted]
                 b = window_hashes(made.hashes, length, 1)[wanted]
                 doc = docs[made.row[: least.size][wanted]]
@@ -197,20 +208,33 @@ def removed_windows(docs: DataFrame, length: int = 13, lowest: int = 7, id_col:
     owned = stored(digests.join(owners, (F.col("t1") == F.col("o1")) & (F.col("t2") == F.col("o2"))).select("doc", "t1", "own"), "owned")
     standing = owned.filter("doc = own").select(F.col("doc").alias("s")).distinct()
     copies = owned.filter("doc > own").groupBy(F.col("doc").alias("c")).agg(F.collect_set("t1").alias("copies"))
-    # Lowest level: anchors that occur in two texts.
-    spread = texts.select(name.alias("t1"), "text").mapInArrow(_anchor_rows(length, low[0], True), "h long, low long, high long")
-    repeated = stored(
-        spread.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select(F.col("h").alias("k")),
-        "anchors",
-    )
-    release(docs.sparkSession)
-    own = texts.mapInArrow(_anchor_rows(length, low[0], False), "h long, doc long").join(repeated, F.col("h") == F.col("k"))
-    marks = own.groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("marks"))
-    marks = stored(marks.join(standing, F.col("d") == F.col("s"), "left_semi"), "marks")
-    release(docs.sparkSession)
-    # Doubled: only windows over a repeated anchor are made.
+
+    def repeated_anchors(named: DataFrame, owned_rows: DataFrame, level: int, below: int | None, round_: str) -> DataFrame:
+        """(d, marks): the anchors of a level that occur in two texts, by document."""
+        spread = named.mapInArrow(_anchor_rows(length, level, True, below), "h long, low long, high long")
+        repeated = stored(
+            spread.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select(F.col("h").alias("k")),
+            f"anchors{round_}",
+        )
+        release(docs.sparkSession)
+        own = owned_rows.mapInArrow(_anchor_rows(length, level, False, below), "h long, doc long").join(repeated, F.col("h") == F.col("k"))
+        marks = own.groupBy(F.col("doc").alias("d")).agg(F.collect_set("h").alias("marks"))
+        marks = stored(marks.join(standing, F.col("d") == F.col("s"), "left_semi"), f"marks{round_}")
+        release(docs.sparkSession)
+        return marks
+
+    below = low[0]
+    marks = repeated_anchors(texts.select(name.alias("t1"), "text"), texts, below, None, "")
+    for level in low[1:-1]:
+        if marks.isEmpty():
+            break
+        # Doubled: only full windows over a repeated anchor go on.
+        marked = texts.join(marks, F.col("doc") == F.col("d")).select("doc", "text", "marks")
+        named = marked.select(name.alias("t1"), "text", "marks")
+        marks, below = repeated_anchors(named, marked, level, below, f"-{level}"), level
+    # Doubled to full length.
     marked = texts.join(marks, F.col("doc") == F.col("d")).select("doc", "text", "marks")
-    windows = stored(marked.mapInArrow(_window_rows(length, low[0]), "doc long, a long, b long"), "windows")
+    windows = stored(marked.mapInArrow(_window_rows(length, below), "doc long, a long, b long"), "windows")
     release(docs.sparkSession)
     first = windows.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
     first = stored(first.filter("n > 1").select("x", "y", "least"), "first")
@@ -230,7 +254,7 @@ def remove_repeated_windows(
     A word goes if a window of `length` words over it also starts in a document
     with a smaller id. Words are runs of anything but space and the ASCII
     controls from tab to carriage return. Null and empty texts have no words.
-    Windows are compared by 128-bit hashes. Rows that share an id are one
+    Windows are compared by two 64-bit hashes over 64-bit hashes of their words. Rows that share an id are one
     document to each other: neither removes from the other. Rows with a null id
     neither remove nor lose words. Ids are whole numbers. Other columns of the
     input are neither read nor returned; an empty table gives an empty result.

@@ -69,3 +69,27 @@ def test_edges(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in out) == [
         ("4", 20, 0), ("4", 20, 0), ("4", 21, 0), ("5", 20, 20), ("None", 0, 0), ("None", 20, 0)
     ]
+
+
+def test_levels_between_are_gone_through(spark):
+    pick = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    long, short = pick.choices(words, k=70), pick.choices(words, k=30)
+    docs = []
+    for i in range(40):
+        own = pick.choices(words, k=pick.randint(0, 60))
+        own += [[], long, long[:55], long[10:], short, long[:30] + ["edit"] + long[31:]][i % 6]
+        docs.append((i, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    out = remove_repeated_windows(frame, length=50, lowest=4).collect()
+    assert sorted(tuple(r) for r in out) == _expected(docs, 50)
+    assert any(r["n_removed"] for r in out)
+    # The short passages repeat at 25 words, and nothing is left at 50.
+    few = [(i, t) for i, t in docs if i % 6 in (0, 4)]
+    out = remove_repeated_windows(spark.createDataFrame(few, frame.schema), length=50, lowest=4).collect()
+    assert sorted(tuple(r) for r in out) == _expected(few, 50)
+    assert not any(r["n_removed"] for r in out)
+    # Nothing repeats at the lowest level either.
+    lone = [(i, " ".join(f"d{i}x{k}" for k in range(60))) for i in range(3)]
+    out = remove_repeated_windows(spark.createDataFrame(lone, frame.schema), length=50, lowest=4).collect()
+    assert sorted(tuple(r) for r in out) == _expected(lone, 50)
