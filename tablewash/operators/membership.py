@@ -80,7 +80,8 @@ def _range(df: DataFrame, column: str, values: Any) -> Column | None:
     """For a number column and a list of numbers: the range that holds them, which a file scan can use."""
     if isinstance(values, DataFrame) or not values or not isinstance(column_type(df, column), T.NumericType):
         return None
-    if not all(isinstance(v, (int, float)) and not isinstance(v, bool) and v == v for v in values):
+    # Beyond 2**53 whole numbers meet as doubles, which a range of exact ones would not follow; a NaN has no place.
+    if not all(isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < 2**53 for v in values):
         return None
     return col(column).between(min(values), max(values))
 

@@ -95,3 +95,11 @@ def test_a_recipe_keeps_long_lists(mixed):
     specs = [{"op": "keep_rows_where", "params": {"column": "t.x", "operator": "in", "value": wanted}}]
     # 10, " 9", $9 and 9.0, each twice.
     assert replay(mixed, specs).count() == 8
+
+
+def test_long_lists_of_huge_numbers(spark, monkeypatch):
+    df = spark.createDataFrame([(i, 2**53 + i) for i in range(4)], f"{RID} bigint, n bigint")
+    condition = {"column": "n", "operator": "in", "value": [2**53, 10**30]}
+    literal = sorted(r[RID] for r in filter_rows(df, [condition]).collect())
+    monkeypatch.setattr(membership, "LITERALS", -1)
+    assert sorted(r[RID] for r in filter_rows(df, [condition]).collect()) == literal == [0, 1]
