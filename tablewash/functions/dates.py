@@ -82,7 +82,7 @@ def coerce_date(c: Column, day_first: bool = False) -> Column:
 def date_shape(c: Column) -> Column:
     """Which way of writing dates the text uses; stricter than coerce_date."""
     # The three patterns.
-    return (
+    shape = (
         F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), SHAPE_ISO)
         .when(c.rlike(r"^\d{1,4}[/.]\d{1,2}[/.]\d{1,4}\z"), SHAPE_SLASH)
         .when(
@@ -93,6 +93,7 @@ def date_shape(c: Column) -> Column:
             SHAPE_TEXT,
         )
     )
+    return F.when(c.rlike(_START), shape)
 
 
 def date_ordinal(iso: Column) -> Column:

@@ -16,6 +16,8 @@ CURRENCY_SIGNS = "$€£¥₹"
 _NOISE = rf"(?!^ )[{CURRENCY_SIGNS},%{WS}]"
 # Fixed value: what is left of a number once signs and separators are gone.
 _NUMERAL = r"^-?\d*\.?\d+([eE][-+]?\d+)?\z"
+# Fixed value: a character that no number holds, however it is written.
+_FOREIGN = rf"[^\d{CURRENCY_SIGNS},%{WS}().eE+-]"
 # Fixed value: the shape of a number as people format it.
 _FORMATTED = (
     rf"^[{WS}]*[-(]?[{WS}]*[{CURRENCY_SIGNS}]?[{WS}]*[\d,]+(\.\d+)?[{WS}]*%?[{WS}]*\)?[{WS}]*\z"
@@ -27,8 +29,10 @@ def coerce_number(c: Column) -> Column:
 
     A trimmed cell cannot start with a space, so a leading space is free to
     carry "was in parentheses" through the clean-up of the other characters.
+    Most texts are told by one foreign character and are null from there on.
     """
-    cell = strip(c)
+    text = strip(c)
+    cell = F.when(~text.rlike(_FOREIGN), text)
     marked = F.regexp_replace(cell, r"^\((.*)\)\z", " $1")
     numeral = F.regexp_replace(F.regexp_replace(marked, _NOISE, ""), "^(?: -?|-)", "-")
     percent = cell.rlike(rf"%[{WS}]*\)?\z")
@@ -51,7 +55,7 @@ def number_of(c: Column, data_type: T.DataType) -> Column:
 
 def formatted_number(c: Column) -> Column:
     """Whether the text is laid out like a number (``1e5`` is not)."""
-    return c.rlike(_FORMATTED)
+    return ~c.rlike(_FOREIGN) & c.rlike(_FORMATTED)
 
 
 def round_display(n: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablewash.functions.booleans import boolean_like
 from tablewash.functions.dates import SHAPES, coerce_date, date_ordinal, date_shape
 from tablewash.functions.numbers import CURRENCY_SIGNS, coerce_number, formatted_number
-from tablewash.functions.text import is_blank, strip
+from tablewash.functions.text import is_blank, norm_key, strip
 from tablewash.operators.table import RID, cell_text, col, column_list, data_columns, require_columns
 
 
@@ -36,20 +36,29 @@ _VALUES = ("column", "value", "cnt", "first_rid")
 def value_facts(vf: DataFrame) -> DataFrame:
     """What the cell functions say about every distinct value, once."""
     value = F.col("value")
+    # The long chain of date layouts runs for few values. Inside a lambda it stays out of the generated
+    # method, which with it is too large for the JVM to compile: every value then takes three times as long.
+    day = F.get(F.transform(F.array(value), lambda x: date_ordinal(coerce_date(x))), F.lit(0))
     # Nothing parses a blank, so the parsers need no "if present" around them.
     return vf.select(
         *_VALUES,
         (~is_blank(value)).alias("present"),
         (value != strip(value)).alias("padded"),
-        date_ordinal(coerce_date(value)).alias("day"),
+        day.alias("day"),
         date_shape(strip(value)).alias("shape"),
         coerce_number(value).alias("num"),
         formatted_number(strip(value)).alias("laid_out"),
         boolean_like(value).alias("truth"),
         value.rlike(f"[{CURRENCY_SIGNS},%()]").alias("marked"),
+        F.xxhash64(norm_key(value)).alias("key_hash"),
     )
 
 
+def not_alone() -> Column:
+    """Whether a value may stand in two rows; null and ``''`` count as one value."""
+    return (F.col("cnt") > 1) | (F.coalesce("value", F.lit("")) == "")
+
+
 class Frequencies:
     """Lazy frames derived from one table version; nothing runs until asked."""
 
@@ -59,21 +68,24 @@ class Frequencies:
         columns: list[str] | None = None,
         kinds: dict[str, str] | None = None,
         facts: DataFrame | None = None,
+        stats: DataFrame | None = None,
     ):
         """``kinds`` are inferred types the caller already holds for this table.
 
         With them, typed operators read just the columns of their type.
         ``facts`` are the values of these columns as a summary store holds them;
-        then the table itself is not read.
+        then the table itself is not read. ``stats`` are what it holds per column.
         """
         self.columns = list(columns) if columns else data_columns(df)
         self.kinds = kinds
         require_columns(df, self.columns)
         self.df = df
-        self._stats: DataFrame | None = None
+        self._stats = stats
         self.kept = facts is not None
-        # Where a store keeps the values of each column.
+        # Where a store keeps the values of each column, and in how many rows one stands that may stand in another.
         self.tables: dict[str, str] = {}
+        self.not_alone: dict[str, int] = {}
+        self.total_rows: int | None = None
         if facts is not None:
             self.facts, self.vf = facts, facts.select(*_VALUES)
             return
@@ -93,9 +105,10 @@ class Frequencies:
 
     def of_type(self, *wanted: str) -> DataFrame:
         """Non-blank values of the columns of some inferred types."""
-        return self._typed(*wanted).select(*_VALUES)
+        return self.typed(*wanted).select(*_VALUES)
 
-    def _typed(self, *wanted: str) -> DataFrame:
+    def typed(self, *wanted: str) -> DataFrame:
+        """The same with their facts."""
         if self.kinds is not None:
             chosen = [c for c in self.columns if self.kinds[c] in wanted]
             if not chosen:
@@ -117,14 +130,14 @@ class Frequencies:
         Sums and integer extremes only, so it stays a hash aggregation.
         """
         if self._stats is None:
-            self._stats = self._with_types(self._counted)
+            self._stats = self.with_types(self._counted)
         return self._stats
 
     @cached_property
     def _counted(self) -> DataFrame:
-        return self._counts()
+        return self.counts()
 
-    def _counts(self) -> DataFrame:
+    def counts(self) -> DataFrame:
         cnt, facts = F.col("cnt"), self.facts
 
         def rows(condition):
@@ -146,6 +159,7 @@ class Frequencies:
             rows(present & F.col("truth")).alias("n_boolean"),
             rows(present & F.col("padded")).alias("n_padded"),
             rows(present & F.col("marked")).alias("n_formatted"),
+            rows(not_alone()).alias("n_not_alone"),
             F.min("day").alias("first_day"),
             F.max("day").alias("last_day"),
             *shapes,
@@ -166,7 +180,7 @@ class Frequencies:
         )
         return counts.select("*", leading.alias("leading"))
 
-    def _with_types(self, counts: DataFrame) -> DataFrame:
+    def with_types(self, counts: DataFrame) -> DataFrame:
         # More than three spellings may still be three words in other cases.
         # Only such columns count them; usually there is none.
         unsure = counts.where(F.col("leading") == "boolean?").select("column")
@@ -180,7 +194,7 @@ class Frequencies:
             F.when(F.col("leading") == "boolean?", F.when(F.col("words") <= 3, "boolean").otherwise("string"))
             .otherwise(F.coalesce("leading", F.lit("empty")))
         )
-        zero_filled = ["total_rows", "missing_count", "distinct_count"]
+        zero_filled = ["total_rows", "missing_count", "distinct_count", "n_not_alone"]
         return (
             every.join(F.broadcast(counts), "column", "left")
             .join(F.broadcast(words), "column", "left")
@@ -192,6 +206,6 @@ class Frequencies:
     @cached_property
     def numbers(self) -> DataFrame:
         """``(column, num, cnt)``: distinct numbers of the number columns."""
-        parsed = self._typed("number").select("column", "num", "cnt")
+        parsed = self.typed("number").select("column", "num", "cnt")
         grouped = parsed.groupBy("column", "num").agg(F.sum("cnt").alias("cnt"))
         return settled(grouped, ["column", "num"], F.col("cnt") > 0).where("num is not null")

@@ -11,7 +11,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -23,10 +23,11 @@ from tablewash.plans.lineage import delete_path, ensure_checkpoint_dir
 
 @dataclass(frozen=True)
 class _Part:
-    """Where the values of a column lie: one folder holds the columns of one scan."""
+    """Where the values of a column lie, one folder holds the columns of one scan, and what they count up to."""
 
     folder: str
     number: int
+    stats: Row
 
 
 def changed_columns(step: Step) -> set[str] | None:
@@ -62,25 +63,44 @@ class SummaryStore:
             number = F.element_at(F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)]), F.col("column"))
             facts = Frequencies(self.df, missing).facts
             facts.select(number.alias("part"), "*").drop("column").write.partitionBy("part").parquet(folder)
-            self.parts |= {c: _Part(folder, i) for c, i in numbers.items()}
+            stats = self._stats(self._read({folder: {i: c for c, i in numbers.items()}}, missing), missing)
+            self.parts |= {c: _Part(folder, i, stats[c]) for c, i in numbers.items()}
         return missing
 
+    def _stats(self, facts: DataFrame, columns: list[str]) -> dict[str, Row]:
+        """What the stored values of each column count up to, and its type: one row per column, read once."""
+        found = Frequencies(self.df, columns, facts=facts)
+        counts = found.counts()
+        held = self.df.sparkSession.createDataFrame(counts.collect(), counts.schema)
+        return {r["column"]: r for r in found.with_types(held).collect()}
+
+    def _read(self, by_folder: dict[str, dict[int, str]], columns: list[str]) -> DataFrame:
+        """The stored facts of the columns that have these numbers in these folders."""
+        kinds = Frequencies(self.df, columns).facts.schema
+        schema = StructType([f for f in kinds if f.name != "column"]).add("part", IntegerType())
+        read = []
+        for folder, held in by_folder.items():
+            name = F.element_at(F.create_map(*[x for i, c in held.items() for x in (F.lit(i), F.lit(c))]), F.col("part"))
+            rows = self.df.sparkSession.read.schema(schema).parquet(folder).where(F.col("part").isin(*held))
+            read.append(rows.select(name.alias("column"), *[c for c in rows.columns if c != "part"]))
+        return reduce(DataFrame.unionByName, read)
+
     def frequencies(self, columns: list[str] | None = None) -> Frequencies:
         """Frequencies of some columns or all, read from the store, which is built as far as needed."""
         columns = columns or data_columns(self.df)
         self.build(columns)
-        spark = self.df.sparkSession
         by_folder: dict[str, dict[int, str]] = {}
         for c in columns:
             by_folder.setdefault(self.parts[c].folder, {})[self.parts[c].number] = c
-        kinds = Frequencies(self.df, columns).facts.schema
-        schema = StructType([f for f in kinds if f.name != "column"]).add("part", IntegerType())
-        read = []
-        for folder, held in by_folder.items():
-            name = F.element_at(F.create_map(*[x for i, c in held.items() for x in (F.lit(i), F.lit(c))]), F.col("part"))
-            rows = spark.read.schema(schema).parquet(folder).where(F.col("part").isin(*held))
-            read.append(rows.select(name.alias("column"), *[c for c in rows.columns if c != "part"]))
-        found = Frequencies(self.df, columns, facts=reduce(DataFrame.unionByName, read))
+        facts = self._read(by_folder, columns)
+        # One row per column, so that readers scan the columns of their type only.
+        rows = [self.parts[c].stats.asDict() | {"pos": i, "column": c} for i, c in enumerate(columns)]
+        schema = Frequencies(self.df, columns, facts=facts).stats.schema
+        stats = self.df.sparkSession.createDataFrame([tuple(r[n] for n in schema.names) for r in rows], schema)
+        kinds = {r["column"]: r["inferred_type"] for r in rows}
+        found = Frequencies(self.df, columns, kinds, facts, stats)
+        found.total_rows = max(r["total_rows"] for r in rows)
+        found.not_alone = {r["column"]: r["n_not_alone"] for r in rows}
         found.tables = {c: f"{self.parts[c].folder}/part={self.parts[c].number}" for c in columns}
         return found
 
