@@ -26,6 +26,8 @@ from tablewash.llm.common import slices, stored, utf8
 
 #: Bits of the map of frequent words and pairs: 8 MB whatever the corpus.
 MAP_BITS = 1 << 26
+#: Hashes that are told apart in the shuffle for the map: rare ones may count as one, which at worst is a wrong bit.
+_HASH_VALUES = 1 << 32
 #: Bytes of text a task looks at in one go, entries it counts before it hands them on, and rows it hands on at once.
 _BYTES, _BLOCK, _ROWS = 1 << 19, 1 << 19, 1 << 16
 NO_LANGUAGE = "und"
@@ -107,11 +109,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
             yield _Block(batch.column(1).to_pylist(), batch.column(0).to_pylist())
 
 
-def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c) of words and of pairs, counted within blocks."""
+def _hashed_counts(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
+    """(h, c) of words and of pairs, counted within blocks; h is below `values`, a power of two."""
+    low = np.uint64(values - 1)
 
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, c = np.unique(np.concatenate(held), return_counts=True)
+        h, c = np.unique(np.concatenate(held) & low, return_counts=True)
         for at in range(0, h.size, _ROWS):
             part = slice(at, at + _ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(c[part].astype(np.int64))], ["h", "c"])
@@ -131,7 +134,8 @@ def _hashed_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def frequent_map(texts: DataFrame, min_count: int, bits: int = MAP_BITS) -> np.ndarray:
     """A bit map with the bits of all words and pairs that occur `min_count` times: bits / 64 longs, whatever the corpus."""
     bit = F.col("h").bitwiseAND(F.lit(bits - 1))
-    counts = texts.mapInArrow(_hashed_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    values = max(bits, _HASH_VALUES)
+    counts = texts.mapInArrow(lambda batches: _hashed_counts(batches, values), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     frequent = counts.where(F.col("c") >= min_count).select(
         F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("set")
     )
