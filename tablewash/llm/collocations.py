@@ -2,19 +2,20 @@
 
 The graph's nodes are phrases of one word less than the longest, its edges the
 longest phrases, weighted by how often they occur; neighbouring edges overlap in
-a node. Only edges are counted, and what stands at the end of a piece, where no
-edge begins. How often a shorter phrase occurs is what flows out of it along the
-edges plus its share of the piece ends. A node whose whole flow goes on along one
+a node. Only edges are counted, and where no frequent edge can begin, the longest
+phrase that may be frequent. How often a shorter phrase occurs is what flows out
+of it along the edges and these shorter ones. A node whose whole flow goes on along one
 edge is compacted into it: a phrase that never occurs but within a longer one goes.
 
-A phrase can only be frequent if its words and pairs are, so pieces are cut at
-rare pairs first. Which are rare is told by a bit map of fixed size: a wrong bit
-keeps a rare pair, which costs time, never a count.
+A phrase can only be frequent if all phrases in it are, so pieces are cut at rare
+pairs first, and longer phrases that are rare are left out. Which are rare is told
+by two bit maps of fixed size: a wrong bit keeps a rare phrase, which costs time,
+never a count. The counts behind the maps travel packed, some two bytes each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from tablewash.llm.common import slices, stored, utf8
 
-#: Bits of the map of frequent words and pairs: 8 MB whatever the corpus.
+#: Bits of each map of frequent phrases: 8 MB whatever the corpus.
 MAP_BITS = 1 << 26
 #: Hashes that are told apart in the shuffle for the map: rare ones may count as one, which at worst is a wrong bit.
 _HASH_VALUES = 1 << 32
 #: Bytes of text a task looks at in one go, entries it counts before it hands them on, and rows it hands on at once.
-_BYTES, _BLOCK, _ROWS = 1 << 19, 1 << 19, 1 << 16
+_BYTES, _BLOCK, _ROWS = 1 << 19, 1 << 21, 1 << 16
+#: Packed counts: values of a range, and of a part of it in which 16 bits tell them apart.
+_RANGE, _SUB = 1 << 21, 1 << 16
 NO_LANGUAGE = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,35 +112,107 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
             yield _Block(batch.column(1).to_pylist(), batch.column(0).to_pylist())
 
 
-def _hashed_counts(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
-    """(h, c) of words and of pairs, counted within blocks; h is below `values`, a power of two."""
+def _grams(h: np.ndarray, linked: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of words, first words and hashes of the phrases of 3 words and more along links."""
+    at = np.flatnonzero(linked)
+    key = _pairs(h)[at] if at.size else h[:0]
+    for words in range(3, longest + 1):
+        on = linked[at + words - 2]
+        at = at[on]
+        key = _mixed(key[on] * _MIX[0] + h[at + words - 1] + np.uint64(words))
+        yield words, at, key
+
+
+def _words_and_pairs(block: _Block) -> list[np.ndarray]:
+    h = block.hashes(0)
+    return [h, _pairs(h)[block.near]]
+
+
+def _links(block: _Block, h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether a word and the next one are a pair that may be frequent."""
+    linked = np.zeros(h.size, bool)
+    linked[:-1] = block.near & _marked(bitmap, _pairs(h))
+    return linked
+
+
+def _hashed_counts(
+    batches: Iterator[pa.RecordBatch], values: int, hashes: Callable[[_Block], list[np.ndarray]] = _words_and_pairs
+) -> Iterator[pa.RecordBatch]:
+    """(h, c) of the phrases' hashes, counted and in order within blocks; h is below `values`, a power of two."""
     low = np.uint64(values - 1)
 
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held) & low, return_counts=True)
-        for at in range(0, h.size, _ROWS):
-            part = slice(at, at + _ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(c[part].astype(np.int64))], ["h", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
     held, size = [], 0
     for block in _blocks(batches):
-        h = block.hashes(0)
-        held += [h, _pairs(h)[block.near]]
-        size += held[-1].size + h.size
+        if block.start.size:
+            held += hashes(block)
+            size = sum(x.size for x in held)
         if size >= _BLOCK:
-            yield from counted(held)
+            yield counted(held)
             held, size = [], 0
     if held:
-        yield from counted(held)
+        yield counted(held)
 
 
-def frequent_map(texts: DataFrame, min_count: int, bits: int = MAP_BITS) -> np.ndarray:
-    """A bit map with the bits of all words and pairs that occur `min_count` times: bits / 64 longs, whatever the corpus."""
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of the values between each two bounds."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), bounds.size - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+_PACKED = "at int, one_sizes binary, ones binary, more_sizes binary, more binary, times binary"
+
+
+def _packed(counts: Iterator[pa.RecordBatch], values: int) -> Iterator[pa.RecordBatch]:
+    """A row for each range of hashes: those met once and those met more often by their last 16 bits, and how often."""
+    parts, names = _RANGE // _SUB, [c.split()[0] for c in _PACKED.split(", ")]
+    starts = np.arange(0, values + 1, _RANGE)
+    for batch in counts:
+        h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        columns = []
+        for chosen in (c == 1, c > 1):
+            own = h[chosen]
+            sizes = np.bincount(own // _SUB, minlength=values // _SUB).astype("<u4")
+            columns += [_binary(sizes, np.arange(starts.size) * parts), _binary((own % _SUB).astype("<u2"), np.searchsorted(own, starts))]
+        columns.append(_binary(c[c > 1].astype("<i8"), np.searchsorted(h[c > 1], starts)))
+        rows = pa.RecordBatch.from_arrays([pa.array(np.arange(starts.size - 1, dtype=np.int32)), *columns], names)
+        yield rows.filter(pa.array(np.diff(np.searchsorted(h, starts)) > 0))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """(h) of the hashes met `min_count` times, from packed rows in the order of `at`: counters of one range at a time."""
+    counters, now = np.zeros(_RANGE, np.int64), None
+
+    def found() -> pa.RecordBatch:
+        h = np.flatnonzero(counters >= min_count) + (0 if now is None else now * _RANGE)
+        counters[:] = 0
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], ["h"])
+
+    def places(sizes: bytes, low: bytes) -> np.ndarray:
+        high = np.repeat(np.arange(_RANGE // _SUB), np.frombuffer(sizes, "<u4"))
+        return high * _SUB + np.frombuffer(low, "<u2")
+
+    for batch in batches:
+        for at, one_sizes, ones, more_sizes, more, times in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if at != now:
+                yield found()
+                now = at
+            counters[places(one_sizes, ones)] += 1
+            counters[places(more_sizes, more)] += np.frombuffer(times, "<i8")
+    yield found()
+
+
+def _bit_map(texts: DataFrame, min_count: int, bits: int, hashes: Callable[[_Block], list[np.ndarray]]) -> np.ndarray:
+    """A bit map with the bits of all phrases that occur `min_count` times: bits / 64 longs, whatever the corpus."""
     bit = F.col("h").bitwiseAND(F.lit(bits - 1))
     values = max(bits, _HASH_VALUES)
-    counts = texts.mapInArrow(lambda batches: _hashed_counts(batches, values), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    frequent = counts.where(F.col("c") >= min_count).select(
-        F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("set")
+    packed = texts.mapInArrow(lambda batches: _packed(_hashed_counts(batches, values, hashes), values), _PACKED)
+    dealt = packed.repartition("at").sortWithinPartitions("at")
+    frequent = dealt.mapInArrow(lambda batches: _unpacked(batches, max(min_count, 1)), "h long").select(
+        F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("set")
     )
     found = np.zeros(bits // 64, np.int64)
     for row in frequent.groupBy("at").agg(F.bit_or("set").alias("set")).toLocalIterator():
@@ -145,40 +220,52 @@ def frequent_map(texts: DataFrame, min_count: int, bits: int = MAP_BITS) -> np.n
     return found.view(np.uint64)
 
 
+def frequent_map(texts: DataFrame, min_count: int, bits: int = MAP_BITS) -> np.ndarray:
+    """The bits of all words and pairs that occur `min_count` times."""
+    return _bit_map(texts, min_count, bits, _words_and_pairs)
+
+
+def longer_map(texts: DataFrame, bitmap: np.ndarray, min_count: int, longest: int, bits: int = MAP_BITS) -> np.ndarray:
+    """The bits of all phrases of 3 to `longest` words that occur `min_count` times, given the map of words and pairs."""
+    if longest < 3:
+        return np.zeros(bits // 64, np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def longer(block: _Block) -> list[np.ndarray]:
+        h = block.hashes(0)
+        return [key for _, _, key in _grams(h, _links(block, h, shared.value), longest)]
+
+    return _bit_map(texts, min_count, bits, longer)
+
+
 def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h & np.uint64(bitmap.size * 64 - 1)
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _edge_rows(block: _Block, bitmap: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of every edge, and of every piece end, after cuts at rare pairs."""
+def _edge_rows(block: _Block, bitmap: np.ndarray, longer: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of the longest phrase from each word on that may be frequent, if any is."""
     h = block.hashes(0)
-    linked = np.zeros(h.size, bool)  # to the next word
-    linked[:-1] = block.near & _marked(bitmap, _pairs(h))
-    whole = linked.copy()
-    for step in range(1, longest - 1):
-        whole[:-step] &= linked[step:]
-        whole[-step:] = False
-    edges = np.flatnonzero(whole)
-    last = np.flatnonzero(~linked)
-    first = np.concatenate([[0], last[:-1] + 1]) if last.size else last
-    words = np.minimum(last - first + 1, longest - 1)
-    # A rare word on its own is in no frequent phrase.
-    kept = (words > 1) | _marked(bitmap, h[last])
-    start = np.concatenate([edges, (last - words + 1)[kept]])
-    return start, np.concatenate([np.full(edges.size, longest), words[kept]])
-
-
-def weighted_edges(texts: DataFrame, bitmap: np.ndarray, longest: int) -> DataFrame:
-    """(lang, phrase, words, c): edges have `longest` words, piece ends fewer; a row of 0 words counts all words of a language."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+    linked = _links(block, h, bitmap)
+    words = np.where(linked, 2, _marked(bitmap, h).astype(np.int64))
+    for size, at, key in _grams(h, linked, longest):
+        # What begins with a rare phrase, or ends with one, is rare.
+        on = _marked(longer, key) & (words[at] == size - 1) & (words[at + 1] >= size - 1)
+        words[at[on]] = size
+    start = np.flatnonzero(words)
+    return start, words[start]
+
+
+def weighted_edges(texts: DataFrame, bitmap: np.ndarray, longer: np.ndarray, longest: int) -> DataFrame:
+    """(lang, phrase, words, c): edges have `longest` words, phrases where none begins fewer; 0 words: all words of a language."""
+    shared = texts.sparkSession.sparkContext.broadcast((bitmap, longer))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for block in _blocks(batches):
             if not block.start.size:
                 continue
-            start, words = _edge_rows(block, marks, longest)
+            start, words = _edge_rows(block, *marks, longest)
             keys = []
             for seed in (0, 1):  # 128 bits tell the phrases of a block apart
                 h = block.hashes(seed)
@@ -219,13 +306,12 @@ def weighted_edges(texts: DataFrame, bitmap: np.ndarray, longest: int) -> DataFr
 def phrase_counts(edges: DataFrame, min_count: int, longest: int) -> DataFrame:
     """(lang, phrase, words, f) of all phrases that occur `min_count` times, and the row of 0 words of every language.
 
-    What flows out of a node along its edges are the beginnings of the edges; a
-    piece end adds all that lies within it, as no edge begins there.
+    What flows out of a node along its edges are the beginnings of the edges, and
+    of the shorter phrases that stand where no edge begins.
     """
     within = F.expr(
-        f"""if(words = 0, array(struct(phrase, words)), flatten(transform(sequence(1, if(words = {longest}, 1, words)),
-        s -> transform(sequence(1, words - s + 1), k -> struct(
-          substring_index(substring_index(phrase, ' ', s - 1 - words), ' ', k) as phrase, k as words)))))"""
+        f"""if(words = 0, array(struct(phrase, words)), transform(sequence(1, if(words = 0, 1, words)),
+        k -> struct(substring_index(phrase, ' ', k) as phrase, k as words)))"""
     )
     counts = edges.select("lang", "c", F.inline(within)).groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
     return counts.where((F.col("f") >= min_count) | (F.col("words") == 0))
@@ -300,7 +386,8 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), utf8(F.col(f"`{text_col}`")).alias("text")
     )
-    edges = weighted_edges(texts, frequent_map(texts, min_count, map_bits), longest)
+    short = frequent_map(texts, min_count, map_bits)
+    edges = weighted_edges(texts, short, longer_map(texts, short, min_count, longest, map_bits), longest)
     counts = stored(phrase_counts(edges, min_count, longest), "phrase-counts")
     candidates = counts.where("words > 1").join(absorbed(counts), ["lang", "phrase"], "left_anti")
     cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.expr("sequence(1, words - 1)")).alias("k"))
