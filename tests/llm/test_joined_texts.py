@@ -62,3 +62,18 @@ def test_phrases_of_joined_segments(monkeypatch):
             monkeypatch.setattr(s, "_PART", part)
             found.append(sorted(map(str, pa.Table.from_batches(rows(iter([batch]))).to_pylist())))
         assert found[0] == found[1] and found[0]
+
+
+def test_an_anchor_is_one_row_a_text(monkeypatch):
+    """A line that a text repeats many times must not make as many rows of one key; whether it stands at two places is kept."""
+    monkeypatch.setattr(s, "_BLOCK", 500)
+    line = "".join(random.Random(5).choices("abc ", k=90)).encode()
+    texts = [line * 200, b"x" * 150 + line * 200, b"", *_some(6, 5)]
+    rows = [tuple(r.values()) for b in s._anchor_rows(LENGTH)(iter([_anchor_batch(texts)])) for r in b.to_pylist()]
+    row, place, h = s.anchors(texts, LENGTH)
+    expected = {}
+    for r, p, x in zip(row.tolist(), place.tolist(), h.view(np.int64).tolist(), strict=True):
+        expected.setdefault((x, r), set()).add(p)
+    found = {(x, t): low != high for x, low, high, t, _ in rows}
+    assert len(rows) == len(found) < row.size / 10
+    assert found == {k: len(p) > 1 for k, p in expected.items()}
